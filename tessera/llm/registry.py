@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from tessera.llm import near_dedup
+from tessera.llm import decontaminate, near_dedup
 from tessera.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _op8(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _op10(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op8_benchmark_decontamination": _op8,
     "op10_minhash_near_dedup": _op10,
 }
