@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, near_dedup
+from tessera.llm import decontaminate, language, near_dedup
 from tessera.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _op3(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def _op8(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -17,6 +21,7 @@ def _op10(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_language_spans": _op3,
     "op8_benchmark_decontamination": _op8,
     "op10_minhash_near_dedup": _op10,
 }
