@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, language, near_dedup, secrets
+from tessera.llm import decontaminate, language, mixing, near_dedup, secrets
 from tessera.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -12,6 +12,10 @@ def _op3(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def _op6(spark, sf_dir):
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
 def _op7(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def _op10(spark, sf_dir):
 
 QUERIES = {
     "op3_language_spans": _op3,
+    "op6_mixing_to_target_weights": _op6,
     "op7_secret_scan": _op7,
     "op8_benchmark_decontamination": _op8,
     "op10_minhash_near_dedup": _op10,
