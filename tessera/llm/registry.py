@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, language, mixing, near_dedup, secrets
+from tessera.llm import decontaminate, language, mixing, near_dedup, quality, secrets, toxicity
 from tessera.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _op1(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op2(spark, sf_dir):
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op3(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ def _op10(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_classifier": _op1,
+    "op2_toxicity_severity": _op2,
     "op3_language_spans": _op3,
     "op6_mixing_to_target_weights": _op6,
     "op7_secret_scan": _op7,
