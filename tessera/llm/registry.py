@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, language, mixing, near_dedup, quality, secrets, toxicity
+from tessera.llm import decontaminate, language, mixing, near_dedup, quality, secrets, telephony, toxicity
 from tessera.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +20,10 @@ def _op3(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def _op4(spark, sf_dir):
+    return telephony.decode(telephony.recordings(table(spark, sf_dir, "documents")))
+
+
 def _op6(spark, sf_dir):
     return mixing.copies(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_quality_classifier": _op1,
     "op2_toxicity_severity": _op2,
     "op3_language_spans": _op3,
+    "op4_telephony_audio": _op4,
     "op6_mixing_to_target_weights": _op6,
     "op7_secret_scan": _op7,
     "op8_benchmark_decontamination": _op8,
