@@ -14,7 +14,9 @@ its least ``doc_id`` stays.
 3. Every survivor is verified on the exact shingle sets of whole texts.
 4. Buckets in which a survivor failed are compared again from the verified
    components, without the failed pairs, until no bucket yields a new pair; so
-   what step 2 skipped is never lost.
+   what step 2 skipped is never lost.  These rounds skip only what verified
+   links connect, and each tries 16 times as many pairs of a document and a
+   component, so there are few.
 
 Cases: null ``doc_id`` rows take no part and stay; null, empty and blank texts
 have no shingles and are never duplicates; texts under three words are one
@@ -43,6 +45,8 @@ BANDS, ROWS = 28, 4
 MISS = 0.005
 #: Buckets up to this size are compared pair by pair in one vector operation.
 DENSE = 64
+#: In ``other``: the row is a member of its bucket, not a failed pair.
+_MEMBER = -(2**63)
 
 _rng = np.random.default_rng(20_240_117)
 _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -128,10 +132,13 @@ def survivors(sig: np.ndarray, i: np.ndarray, j: np.ndarray, need: list[int]) ->
     return alive
 
 
-def spanning(sig: np.ndarray, need: list[int], label: np.ndarray, refused: set[tuple[int, int]] = frozenset()) -> list[tuple[int, int]]:
+def spanning(sig: np.ndarray, need: list[int], label: np.ndarray, refused: set[tuple[int, int]] = frozenset(), most: int = 0) -> list[tuple[int, int]]:
     """Surviving pairs that together connect all that any surviving pairs connect.
 
     label: components known beforehand.  Every pair is compared or connected.
+    most: 0 takes survivors as links at once and skips what they connect.
+    Otherwise only the labels connect, and a document gives up to ``most``
+    surviving pairs that were not refused with each other component.
     """
     comp = np.unique(label, return_inverse=True)[1].astype(np.int64)
     n, edges = len(sig), []
@@ -139,22 +146,34 @@ def spanning(sig: np.ndarray, need: list[int], label: np.ndarray, refused: set[t
     for a, b in refused:
         wrong.setdefault(a, []).append(b)
         wrong.setdefault(b, []).append(a)
+    first_of = np.unique(comp, return_index=True)[1]
+    main = np.bincount(comp).argmax() if most else -1
 
     def join(i: int) -> None:
-        rest = np.flatnonzero(comp != comp[i])
+        other = comp != comp[i]
+        if most:  # of two documents outside the largest component only the first asks
+            other &= (comp == main) | (np.arange(n) > i)
+        rest = np.flatnonzero(other)
         if i in wrong:
             rest = np.setdiff1d(rest, np.array(wrong[i]))
+        hits = []
         for at in range(0, len(rest), 65536):
             part = rest[at : at + 65536]
-            hit = part[survivors(sig, np.full(len(part), i), part, need)]
-            other, first = np.unique(comp[hit], return_index=True)
-            fresh = other != comp[i]
-            edges.extend((i, int(j)) for j in hit[first[fresh]])
-            comp[np.isin(comp, other[fresh])] = comp[i]
-
-    join(0)
-    # every pair that is still apart has an end outside the largest component
-    for i in np.flatnonzero(comp != np.bincount(comp).argmax()):
+            hits.append(part[survivors(sig, np.full(len(part), i), part, need)])
+        hit = np.concatenate(hits) if hits else rest
+        hit = hit[np.argsort(comp[hit], kind="stable")]
+        groups, first, size = np.unique(comp[hit], return_index=True, return_counts=True)
+        edges.extend((i, int(j)) for j in hit[np.arange(len(hit)) - np.repeat(first, size) < max(1, most)])
+        if not most:
+            comp[np.isin(comp, groups)] = comp[i]
+
+    if most:
+        todo = np.flatnonzero(comp != main)
+    else:
+        join(int(first_of[0]))
+        # every pair that is still apart has an end outside the largest component
+        todo = np.flatnonzero(comp != np.bincount(comp).argmax())
+    for i in todo:
         join(int(i))
     return edges
 
@@ -194,21 +213,25 @@ def _dense(key, doc, sig, start, size, need):
     return out_i, out_j
 
 
-def _buckets(need: list[int], again: bool):
-    """Rows sorted by key -> (key, a, b).  A bucket may span batches."""
+def _buckets(need: list[int], again: int):
+    """Rows sorted by key -> (key, a, b).  A bucket may span batches.
+
+    again: 0 at first; later the ``most`` of ``spanning``, from known labels.
+    """
 
     def whole(frame: pd.DataFrame):
         if again:
             out = []
             for key, g in frame.groupby("key", sort=False):
-                members = g[g["other"].isna()].sort_values("doc_id")
+                members = g[g["other"] == _MEMBER].sort_values("doc_id")
                 doc = members["doc_id"].to_numpy(np.int64)
                 sig = np.frombuffer(b"".join(members["sig"]), np.uint8).reshape(-1, HASHES)
                 at = {d: n for n, d in enumerate(doc.tolist())}
-                bad = g[g["other"].notna()]
-                refused = {(at[a], at[b]) for a, b in zip(bad["doc_id"].astype(int), bad["other"].astype(int))}
-                out += [(key, doc[i], doc[j]) for i, j in spanning(sig, need, members["label"].to_numpy(np.int64), refused)]
-            return pd.DataFrame(out, columns=["key", "a", "b"])
+                bad = g[g["other"] != _MEMBER]
+                refused = {(at[a], at[b]) for a, b in zip(bad["doc_id"].tolist(), bad["other"].tolist())}
+                found = spanning(sig, need, members["label"].to_numpy(np.int64), refused, again)
+                out += [(key, min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in found]
+            return pd.DataFrame(out, columns=["key", "a", "b"]).astype("int64")
         key = frame["key"].to_numpy(np.int64)
         doc = frame["doc_id"].to_numpy(np.int64)
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(-1, HASHES)
@@ -282,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
 
     pairs_schema = "key long, a long, b long"
     edges = (
-        members.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id").mapInPandas(_buckets(need, False), pairs_schema)
+        members.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id").mapInPandas(_buckets(need, 0), pairs_schema)
     )
     links, turn, tried = None, 0, None
     exact_links = signed.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
@@ -314,12 +337,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
         rows = (
             members.join(open_keys, "key", "left_semi")
             .join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("key", "doc_id", "sig", F.coalesce("component", "doc_id").alias("label"), F.lit(None).cast("long").alias("other"))
+            .select("key", "doc_id", "sig", F.coalesce("component", "doc_id").alias("label"), F.lit(_MEMBER).alias("other"))
         )
         refused = tried.join(open_keys, "key", "left_semi").distinct().select(
             "key", F.col("a").alias("doc_id"), F.lit(None).cast("binary").alias("sig"), F.lit(0).cast("long").alias("label"), F.col("b").alias("other")
         )
-        edges = rows.unionByName(refused).repartition("key").sortWithinPartitions("key").mapInPandas(_buckets(need, True), pairs_schema)
+        # written first: over a union of joins the optimizer may drop the repartition below
+        rows = written(rows.unionByName(refused), f"{folder}/again{turn}")
+        edges = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_buckets(need, 16 ** (turn + 1)), pairs_schema)
         turn += 1
     groups = connected_components(links.unionByName(exact_links), "a", "b")
     return groups.where("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))

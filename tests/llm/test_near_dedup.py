@@ -71,6 +71,11 @@ def test_large_bucket_and_refused_survivors():
     assert len(edges) == 199 and all(i < 200 and j < 200 for i, j in edges)
     again = nd.spanning(sig[:200], need, np.arange(200), {(0, 7)})
     assert (0, 7) not in again and len(again) == 199
+    apart = {tuple(sorted(e)) for e in nd.spanning(sig[:30], need, np.arange(30), {(0, 7)}, most=16)}
+    assert apart == {(i, j) for i in range(30) for j in range(i + 1, 30)} - {(0, 7)}
+    known = np.r_[np.zeros(100, int), np.arange(1, 101)]
+    some = nd.spanning(sig[:200], need, known, most=16)
+    assert sum(min(i, j) < 100 for i, j in some) == 1600 and len(some) == 1600 + 100 * 99 // 2
 
 
 def test_verification_loop_recovers_pairs_skipped_behind_a_failed_one(spark, monkeypatch):
@@ -109,5 +114,5 @@ def test_buckets_over_batches(n):
     sig = bytes(nd.HASHES)
     rows = pd.DataFrame({"key": [1] * n + [2] * 3, "doc_id": range(n + 3), "sig": [sig] * (n + 3)})
     parts = [rows.iloc[i : i + 2] for i in range(0, len(rows), 2)]
-    out = pd.concat(list(nd._buckets(nd.least_matches(), False)(iter(parts))))
+    out = pd.concat(list(nd._buckets(nd.least_matches(), 0)(iter(parts))))
     assert len(out) == n - 1 + 2
