@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, language, mixing, near_dedup, quality, secrets, telephony, toxicity
+from tessera.llm import decontaminate, language, mixing, near_dedup, ngram, quality, secrets, telephony, toxicity
 from tessera.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +36,10 @@ def _op8(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op9(spark, sf_dir):
+    return ngram.score(table(spark, sf_dir, "documents"))
+
+
 def _op10(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,6 @@ QUERIES = {
     "op6_mixing_to_target_weights": _op6,
     "op7_secret_scan": _op7,
     "op8_benchmark_decontamination": _op8,
+    "op9_ngram_language_model": _op9,
     "op10_minhash_near_dedup": _op10,
 }
