@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, language, mixing, near_dedup, ngram, quality, secrets, telephony, toxicity
+from tessera.llm import decontaminate, language, licenses, mixing, near_dedup, ngram, quality, secrets, telephony, toxicity
 from tessera.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +24,10 @@ def _op4(spark, sf_dir):
     return telephony.decode(telephony.recordings(table(spark, sf_dir, "documents")))
 
 
+def _op5(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def _op6(spark, sf_dir):
     return mixing.copies(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_toxicity_severity": _op2,
     "op3_language_spans": _op3,
     "op4_telephony_audio": _op4,
+    "op5_license_scan": _op5,
     "op6_mixing_to_target_weights": _op6,
     "op7_secret_scan": _op7,
     "op8_benchmark_decontamination": _op8,
