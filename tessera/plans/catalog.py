@@ -2,5 +2,535 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.functions import strings as S
+from tessera.functions import vectors as V
+from tessera.operators import chunking, embed, ivf, matching, search, text, versions
+from tessera.operators import chunks as C
+from tessera.operators import neighbours as N
+from tessera.plans import fixtures as X
+from tessera.sources import ndjson
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+WORDS = "the and of"
+TYPES = ["Person", "Thing"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def hits_sql(where: str = "true", k: int = 30, start: int = 0, count: int = 10) -> str:
+    d = X.dist("ch.e", "p.e")
+    return f"""WITH {X.CH}, p AS (SELECT e FROM ch WHERE vec_id = 0),
+  h AS (SELECT ch.doc_id, ch.chunk_index, {d} AS distance FROM ch, p WHERE {where} ORDER BY 3, 1, 2 LIMIT {k}),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, chunk_index) AS r FROM h)
+  SELECT doc_id, chunk_index, distance FROM b WHERE r = 1 ORDER BY distance, doc_id LIMIT {count} OFFSET {start}"""
+
+
+COLS = ("doc_id", "chunk_index", "distance")
+
+# ---- search
+
+
+@query(hits_sql())
+def vector_topk(spark, sf):
+    return search.vector_search(X.vector_chunks(spark, sf), X.probe(spark, sf)).select(*COLS)
+
+
+@query(hits_sql("doc_type IN ('Person', 'Thing')"))
+def vector_topk_filtered(spark, sf):
+    return search.vector_search(X.vector_chunks(spark, sf), X.probe(spark, sf), types=TYPES).select(*COLS)
+
+
+@query(hits_sql(k=45, start=5, count=10))
+def vector_topk_paged(spark, sf):
+    return search.vector_search(X.vector_chunks(spark, sf), X.probe(spark, sf), start=5).select(*COLS)
+
+
+@query(hits_sql(k=10**9))
+def vector_topk_exact_documents(spark, sf):
+    return search.vector_search(X.vector_chunks(spark, sf), X.probe(spark, sf), overfetch=None).select(*COLS)
+
+
+@query(f"WITH {X.CH}, p AS (SELECT e FROM ch WHERE vec_id = 0) SELECT doc_id, chunk_index, {X.dist('ch.e', 'p.e')} AS distance FROM ch, p")
+def vector_distances(spark, sf):
+    return V.with_distance(X.vector_chunks(spark, sf), X.probe(spark, sf)).select(*COLS)
+
+
+@query(f"""WITH {X.CH}, p AS (SELECT e, doc_id AS self FROM ch WHERE vec_id = 0),
+  h AS (SELECT ch.doc_id, ch.chunk_index, {X.dist('ch.e', 'p.e')} AS distance FROM ch, p ORDER BY 3, 1, 2 LIMIT 33),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, chunk_index) AS r FROM h),
+  n AS (SELECT * FROM b WHERE r = 1 ORDER BY distance, doc_id LIMIT 11)
+  SELECT doc_id, chunk_index, distance FROM n, p WHERE doc_id != self ORDER BY distance, doc_id LIMIT 10""")
+def similar_documents(spark, sf):
+    return search.similar(X.vector_chunks(spark, sf), "data:///Person/0").select(*COLS)
+
+
+@query(f"""WITH {X.TX}, {X.bm25_sql('tx', WORDS)},
+  h AS (SELECT *, round(1 / (1 + score), 9) AS distance FROM scored WHERE score > 0 ORDER BY score DESC, doc_id, chunk_index LIMIT 30)
+  SELECT doc_id, chunk_index, score, distance FROM h ORDER BY distance, doc_id LIMIT 10""")
+def fts_topk(spark, sf):
+    return search.text_search(X.text_chunks(spark, sf), WORDS).select("doc_id", "chunk_index", "score", "distance")
+
+
+@query(f"WITH {X.TX}, {X.bm25_sql('tx', WORDS)} SELECT doc_id, chunk_index, score FROM scored WHERE score > 0")
+def bm25_scores(spark, sf):
+    return text.bm25(X.text_chunks(spark, sf), WORDS).select("doc_id", "chunk_index", "score")
+
+
+@query(f"""WITH {X.TX}, {X.bm25_sql('tx', 'der die the')}, h AS (SELECT *, round(1 / (1 + score), 9) AS distance FROM scored WHERE score > 0 AND doc_type IN ('de', 'fr') ORDER BY score DESC, doc_id, chunk_index LIMIT 30)
+  SELECT doc_id, chunk_index, score, distance FROM h ORDER BY distance, doc_id LIMIT 10""")
+def fts_filtered(spark, sf):
+    return search.text_search(X.text_chunks(spark, sf), "der die the", types=["de", "fr"]).select("doc_id", "chunk_index", "score", "distance")
+
+
+_FUSED = f"""WITH {X.PX}, p AS (SELECT e FROM ch WHERE vec_id = 0), {X.bm25_sql('px', WORDS)},
+  vh AS (SELECT px.doc_id, px.chunk_index, {X.dist('px.e', 'p.e')} AS distance FROM px, p ORDER BY 3, 1, 2 LIMIT 30),
+  fh AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id, chunk_index LIMIT 30),
+  v AS (SELECT *, row_number() OVER (ORDER BY distance, doc_id, chunk_index) AS rv FROM vh),
+  f AS (SELECT doc_id, chunk_index, round(1 / (1 + score), 9) AS df, row_number() OVER (ORDER BY score DESC, doc_id, chunk_index) AS rf FROM fh),
+  fused AS (SELECT doc_id, chunk_index, round(coalesce(1 / (60 + rv), 0) + coalesce(1 / (60 + rf), 0), 12) AS rrf, coalesce(distance, df) AS distance,
+    CASE WHEN distance IS NOT NULL THEN 'cosine' ELSE 'bm25' END AS distance_kind FROM v FULL JOIN f USING (doc_id, chunk_index)),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {{order}}, chunk_index) AS r FROM fused)"""
+_FUSED_END = " SELECT doc_id, chunk_index, rrf, distance, distance_kind FROM b WHERE r = 1 ORDER BY {order}, doc_id LIMIT 10"
+
+
+def _fused_sql(order: str) -> str:
+    return _FUSED.replace("{order}", order) + _FUSED_END.replace("{order}", order)
+
+
+@query(_fused_sql("rrf DESC, distance"))
+def hybrid_search(spark, sf):
+    return search.hybrid_search(X.paired_chunks(spark, sf), X.probe(spark, sf), WORDS).select("doc_id", "chunk_index", "rrf", "distance", "distance_kind")
+
+
+@query(_fused_sql("distance"))
+def hybrid_by_distance(spark, sf):
+    return search.hybrid_search(X.paired_chunks(spark, sf), X.probe(spark, sf), WORDS, rank_by="distance").select("doc_id", "chunk_index", "rrf", "distance", "distance_kind")
+
+
+@query(_FUSED.replace("{order}", "rrf DESC") + " SELECT doc_id, chunk_index, rrf, distance, distance_kind FROM fused")
+def rrf_fusion(spark, sf):
+    chunks = X.paired_chunks(spark, sf)
+    return search.rrf(search.nearest_chunks(chunks, X.probe(spark, sf), 30), search.text_hits(chunks, WORDS, 30))
+
+
+@query(f"""WITH {X.CH}, p AS (SELECT e FROM ch WHERE vec_id = 0), h AS (SELECT ch.*, {X.dist('ch.e', 'p.e')} AS distance FROM ch, p),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, chunk_index) AS r FROM h) SELECT doc_id, chunk_index, distance FROM b WHERE r = 1""")
+def best_chunk_per_document(spark, sf):
+    hits = V.with_distance(X.vector_chunks(spark, sf), X.probe(spark, sf))
+    return search.best_chunk(hits, F.col("distance")).select(*COLS)
+
+
+@query(f"WITH {X.TX} SELECT doc_id, chunk_index, 0.0::DOUBLE AS distance FROM tx WHERE contains(lower(content), 'token = ')")
+def substring_scan(spark, sf):
+    return search.substring_hits(X.text_chunks(spark, sf), "Token = ").select(*COLS)
+
+
+@query(r"""WITH m AS (SELECT doc_id, text AS content, instr(lower(text), 'licensed') AS i FROM documents WHERE contains(lower(text), 'licensed')),
+  r AS (SELECT *, substr(content, i + 8) AS rest FROM m), t AS (SELECT *, regexp_extract(rest, '^[^\s.,;:]*') AS tail FROM r)
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS match_start, CAST(i - 1 + 8 + length(tail) AS INTEGER) AS match_end,
+    array_to_string(list_filter(string_split_regex(substr(rest, length(tail) + 1), '[\s.,;:]+'), lambda w: w != '')[1:5], ' ') AS next_words FROM t""")
+def match_and_next_words(spark, sf):
+    docs = X.table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("licensed")))
+    c = search.match_columns(F.col("text"), "licensed")
+    return docs.select("doc_id", c["match_start"].cast("int").alias("match_start"), c["match_end"].cast("int").alias("match_end"), F.array_join(c["next_words"], " ").alias("next_words"))
+
+
+@query()
+def suggest(spark, sf):
+    return search.suggest(X.text_chunks(spark, sf), "licensed")
+
+
+@query()
+def completions(spark, sf):
+    return search.completions(X.table(spark, sf, "documents").select(F.col("text").alias("snippet")), "licen")
+
+
+@query("""SELECT a.doc_id AS left_id, b.doc_id AS right_id, 0.0::DOUBLE AS distance FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id""")
+def compare_equal_texts(spark, sf):
+    d = X.table(spark, sf, "documents").select("doc_id", "text", F.array(F.lit(1.0)).alias("v"))
+    pairs = d.select(F.col("doc_id").alias("left_id"), F.col("text").alias("a"), F.col("v").alias("va")).join(d.select(F.col("doc_id").alias("right_id"), F.col("text").alias("b"), F.col("v").alias("vb")), F.col("a") == F.col("b"))
+    return search.compare(pairs.where("left_id < right_id"), "a", "b", "va", "vb").select("left_id", "right_id", "distance")
+
+
+@query(f"WITH {X.CH} SELECT a.vec_id AS left_id, b.vec_id AS right_id, {X.dist('a.e', 'b.e')} AS distance FROM ch a JOIN ch b ON a.n = b.n AND a.vec_id < b.vec_id")
+def compare_vectors(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    a = c.select(F.col("vec_id").alias("left_id"), "doc_id", F.col("embedding").alias("va"))
+    b = c.select(F.col("vec_id").alias("right_id"), "doc_id", F.col("embedding").alias("vb"))
+    return a.join(b, "doc_id").where("left_id < right_id").select("left_id", "right_id", V.cosine_distance(F.col("va"), F.col("vb")).alias("distance"))
+
+
+# ---- scans, filters, sinks
+
+
+@query(f"WITH {X.CH} SELECT doc_id, chunk_index, doc_type FROM ch WHERE doc_type IN ('Person', 'Thing') AND doc_id IN ('data:///Person/0', 'data:///Place/1', 'data:///Thing/2')")
+def population_filter(spark, sf):
+    ids = ["data:///Person/0", "data:///Place/1", "data:///Thing/2"]
+    return C.population(X.vector_chunks(spark, sf), TYPES, ids).select("doc_id", "chunk_index", "doc_type")
+
+
+@query(f"WITH {X.CH} SELECT doc_id, chunk_index, list_sum(e[1:1]) AS first_element FROM ch WHERE doc_id = 'data:///Place/1'")
+def document_chunks(spark, sf):
+    return C.doc_chunks(X.vector_chunks(spark, sf), "data:///Place/1").select("doc_id", "chunk_index", F.col("embedding")[0].cast("double").alias("first_element"))
+
+
+@query(f"WITH {X.CH} SELECT doc_id, embedding[1]::DOUBLE AS first_element, len(embedding) AS dim FROM ch WHERE chunk_index = 0")
+def embedding_export(spark, sf):
+    first = C.first_chunk(X.vector_chunks(spark, sf), "embedding")
+    return first.select("doc_id", F.col("embedding")[0].cast("double").alias("first_element"), F.size("embedding").cast("long").alias("dim"))
+
+
+@query("""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x != '') AS t FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(CASE WHEN len(t) <= 439 THEN text ELSE array_to_string(t, ' ') END) AS content FROM w""")
+def document_content(spark, sf):
+    whole = C.doc_content(chunking.chunk(X.table(spark, sf, "documents"), 439, 0))
+    return whole.select("doc_id", F.sha2("content", 256).alias("content"))
+
+
+@query(f"WITH {X.CH} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM ch")
+def live_counts(spark, sf):
+    return C.counts(X.vector_chunks(spark, sf))
+
+
+@query(f"WITH {X.CH} SELECT doc_type, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM ch GROUP BY 1")
+def filtered_counts(spark, sf):
+    return X.vector_chunks(spark, sf).groupBy("doc_type").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query(f"WITH {X.CH} SELECT doc_id, chunk_index, chunk_index * 100 / 400 AS location FROM ch")
+def chunk_location(spark, sf):
+    return X.vector_chunks(spark, sf).select("doc_id", "chunk_index", C.locator().alias("location"))
+
+
+@query("SELECT '{\"id\":\"' || CAST(doc_id AS VARCHAR) || '\",\"chars\":' || CAST(n_chars AS VARCHAR) || '}' AS value FROM documents")
+def json_sink(spark, sf):
+    return ndjson.to_json(X.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").alias("chars")))
+
+
+# ---- scalar functions
+
+
+@query("SELECT page_id, CASE WHEN len(string_split(url, '/')) >= 2 AND string_split(url, '/')[-2] != '' THEN string_split(url, '/')[-2] ELSE 'unknown' END AS doc_type FROM pages WHERE NOT contains(url, '///')")
+def document_types(spark, sf):
+    return X.table(spark, sf, "pages").where("not contains(url, '///')").select("page_id", S.doc_type(F.col("url")).alias("doc_type"))
+
+
+@query("SELECT doc_id, source AS org, lang AS db, 'local' AS repo, 'branch' AS kind, 'main' AS ref FROM documents")
+def resource_paths(spark, sf):
+    p = S.parsed_path(F.concat_ws("/", "source", "lang")).alias("p")
+    return X.table(spark, sf, "documents").select("doc_id", p).select("doc_id", "p.*")
+
+
+@query(r"SELECT doc_id, sha256('nomic-embed-v2' || chr(10) || 'search_document: ' || text) AS cache_key FROM documents")
+def embedding_cache_keys(spark, sf):
+    prefix = S.task_prefix("nomic-embed-v2", "document")
+    return X.table(spark, sf, "documents").select("doc_id", S.cache_key(F.lit("nomic-embed-v2"), F.concat(F.lit(prefix), "text")).alias("cache_key"))
+
+
+@query(f"WITH {X.CH} SELECT vec_id, round(sqrt(list_dot_product(e, e)), 9) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 9) AS first_unit FROM ch")
+def unit_vectors(spark, sf):
+    v = F.col("embedding")
+    return X.table(spark, sf, "embeddings").select("vec_id", F.round(V.norm(v), 9).alias("norm"), F.round(V.l2_normalize(v)[0], 9).alias("first_unit"))
+
+
+@query(f"WITH {X.CH} SELECT a.vec_id, round(greatest(0, 1 - list_dot_product(a.e, b.e)), 9) AS clustering_distance FROM ch a JOIN ch b ON b.n = a.n AND b.chunk_index = 0")
+def clustering_distances(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    first = C.first_chunk(c, "clustering_embedding").withColumnRenamed("clustering_embedding", "f")
+    return c.join(first, "doc_id").select("vec_id", V.clustering_distance(F.col("clustering_embedding"), F.col("f")).alias("clustering_distance"))
+
+
+@query("SELECT e.vec_id, concat(e.label, '-', d.doc_id) AS pair FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.embedding = e.embedding")
+def equal_vectors(spark, sf):
+    e = X.table(spark, sf, "embeddings").where(V.vectors_equal(F.col("embedding"), F.col("embedding")))
+    return e.join(X.table(spark, sf, "documents"), F.col("doc_id") == F.col("vec_id")).select("vec_id", F.concat_ws("-", "label", "doc_id").alias("pair"))
+
+
+# ---- text
+
+
+@query(r"""SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents) GROUP BY token""")
+def document_frequencies(spark, sf):
+    return text.document_frequency(X.text_chunks(spark, sf))
+
+
+@query(r"SELECT count(*) AS n, round(avg(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))), 6) AS avgdl FROM documents")
+def corpus_statistics(spark, sf):
+    return text.corpus_statistics(X.text_chunks(spark, sf)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(rf"WITH {X.TX}, t AS (SELECT doc_id, chunk_index, len(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')) AS len, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')) AS token FROM tx) SELECT doc_id, chunk_index, token, count(*) AS tf, any_value(len)::INTEGER AS len FROM t GROUP BY 1, 2, 3")
+def postings(spark, sf):
+    return text.postings(X.text_chunks(spark, sf))
+
+
+# ---- joins and matching
+
+_NEAR = f"""d AS (SELECT a.doc_id AS src_id, a.chunk_index AS src_chunk, a.doc_type AS st, b.doc_id AS nbr_id, b.chunk_index AS nbr_chunk, b.doc_type AS nt, {X.dist('a.e', 'b.e')} AS distance
+  FROM ch a JOIN ch b ON a.doc_id != b.doc_id)"""
+
+
+def _one_sql(where: str) -> str:
+    return f"""WITH {X.CH}, {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY src_id, src_chunk ORDER BY distance, nbr_id, nbr_chunk) AS rank FROM d WHERE {where})
+  SELECT least(src_id, nbr_id) AS id1, greatest(src_id, nbr_id) AS id2, min(distance) AS distance FROM r WHERE rank = 1 GROUP BY 1, 2 HAVING min(distance) <= 0.35 ORDER BY 3, 1, 2 LIMIT 10000"""
+
+
+@query(_one_sql("true"))
+def duplicates(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    return N.duplicates(c, c, threshold=0.35)
+
+
+@query(_one_sql("st = 'Person' AND nt = 'Place'"))
+def duplicates_across_sets(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    return N.duplicates(c, C.population(c, ["Person"]), C.population(c, ["Place"]), 0.35)
+
+
+@query(_one_sql("st = 'Thing' AND nt = 'Thing'"))
+def duplicates_within_set(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    return N.duplicates(c, C.population(c, ["Thing"]), threshold=0.35, scope="set")
+
+
+@query(f"""WITH {X.CH}, twin AS (SELECT doc_id AS id1, concat(doc_id, '-copy') AS id2 FROM ch WHERE chunk_index = 0) SELECT id1, id2, 0.0::DOUBLE AS distance FROM twin""")
+def equal_vector_override(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    both = c.unionByName(c.withColumn("doc_id", F.concat("doc_id", F.lit("-copy"))))
+    pairs = c.where("chunk_index = 0").select(F.col("doc_id").alias("id1"), F.concat("doc_id", F.lit("-copy")).alias("id2"), F.lit(0.7).alias("distance"))
+    return N.equal_override(pairs, both).select("id1", "id2", "distance")
+
+
+@query(f"""WITH {X.CH}, {_NEAR}, m AS (SELECT src_id, src_chunk, nbr_id, min(distance) AS distance, arg_min(nbr_chunk, struct_pack(d := distance, c := nbr_chunk)) AS nbr_chunk FROM d GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY src_id, src_chunk ORDER BY distance, nbr_id) AS rank FROM m)
+  SELECT src_id, src_chunk, nbr_id, nbr_chunk, distance, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+def knn_join(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    return N.knn_join(c, c, 5)
+
+
+def _merged(name: str, st: str, nt: str, t: float, k: int = 5) -> str:
+    return f"""{name}m AS (SELECT src_id, nbr_id, min(distance) AS distance FROM d WHERE st = '{st}' AND nt = '{nt}' AND distance <= {t} GROUP BY 1, 2),
+  {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY distance, nbr_id)::INTEGER AS rank FROM {name}m) WHERE rank <= {k})"""
+
+
+_CAND = f"WITH {X.CH}, {_NEAR}, {_merged('there', 'Person', 'Place', 0.45)}, {_merged('back', 'Place', 'Person', 0.45)}"
+
+
+def _candidates(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    return N.candidates(C.population(c, ["Person"]), C.population(c, ["Place"]), 5, 0.45)
+
+
+@query(f"{_CAND} SELECT *, 'set_to_target' AS direction FROM there UNION ALL SELECT *, 'target_to_set' FROM back")
+def candidates(spark, sf):
+    return _candidates(spark, sf)
+
+
+@query(f"""{_CAND}, c AS (SELECT *, 'set_to_target' AS direction FROM there UNION ALL SELECT *, 'target_to_set' FROM back)
+  SELECT direction, c.src_id, c.nbr_id, c.distance, round(greatest(0, 1 - list_dot_product(a.e, b.e)), 9) AS clustering_distance
+  FROM c JOIN ch a ON a.doc_id = c.src_id AND a.chunk_index = 0 JOIN ch b ON b.doc_id = c.nbr_id AND b.chunk_index = 0""")
+def candidates_enriched(spark, sf):
+    return N.enrich(_candidates(spark, sf), X.vector_chunks(spark, sf)).select("direction", "src_id", "nbr_id", "distance", "clustering_distance")
+
+
+_MATCHED = f"""{_CAND},
+  e AS (SELECT set_id, target_id, min(distance) AS distance FROM (SELECT src_id AS set_id, nbr_id AS target_id, distance FROM there UNION ALL SELECT nbr_id, src_id, distance FROM back) WHERE distance <= 0.42 GROUP BY 1, 2),
+  f AS (SELECT e.*, t.src_id IS NOT NULL AS s, b.src_id IS NOT NULL AS t FROM e LEFT JOIN there t ON t.src_id = set_id AND t.nbr_id = target_id LEFT JOIN back b ON b.src_id = target_id AND b.nbr_id = set_id),
+  g AS (SELECT *, s AND t AND distance <= 0.40 AS near, row_number() OVER (PARTITION BY set_id ORDER BY (s AND t AND distance <= 0.40) DESC, distance, target_id) AS r FROM f),
+  matched AS (SELECT set_id, target_id, distance, CASE WHEN near AND r = 1 THEN 'core' WHEN s AND distance <= 0.42 THEN 'set_extra' WHEN t AND distance <= 0.41 THEN 'target_extra' END AS stage FROM g),
+  kept AS (SELECT * FROM matched WHERE stage IS NOT NULL)"""
+
+
+def _matched(spark, sf):
+    c = _candidates(spark, sf)
+    side = lambda d: c.where(F.col("direction") == d).drop("direction")
+    return matching.resolve(side("set_to_target"), side("target_to_set"), 5, 0.40, 0.42, 0.41)
+
+
+def _points(spark, sf, kind):
+    return C.population(X.vector_chunks(spark, sf), [kind])
+
+
+@query(f"{_MATCHED} SELECT * FROM kept")
+def resolve_matches(spark, sf):
+    return _matched(spark, sf)
+
+
+@query(f"{_MATCHED} SELECT 'set' AS side, doc_id AS id FROM ch WHERE doc_type = 'Person' AND doc_id NOT IN (SELECT set_id FROM kept) GROUP BY 2 UNION ALL SELECT 'target', doc_id FROM ch WHERE doc_type = 'Place' AND doc_id NOT IN (SELECT target_id FROM kept) GROUP BY 2")
+def resolve_unmatched(spark, sf):
+    m = _matched(spark, sf)
+    a = matching.unmatched(_points(spark, sf, "Person"), m, "set_id").select(F.lit("set").alias("side"), F.col("set_id").alias("id"))
+    return a.unionByName(matching.unmatched(_points(spark, sf, "Place"), m, "target_id").select(F.lit("target").alias("side"), F.col("target_id").alias("id")))
+
+
+@query(f"""{_MATCHED} SELECT count(*) AS edges, count(*) FILTER (stage = 'core') AS core_edges, count(*) FILTER (stage = 'set_extra') AS set_extra_edges, count(*) FILTER (stage = 'target_extra') AS target_extra_edges,
+  count(DISTINCT set_id) AS matched_set, count(DISTINCT target_id) AS matched_target,
+  (SELECT count(DISTINCT doc_id) FROM ch WHERE doc_type = 'Person') - count(DISTINCT set_id) AS set_only, (SELECT count(DISTINCT doc_id) FROM ch WHERE doc_type = 'Place') - count(DISTINCT target_id) AS target_only FROM kept""")
+def resolve_statistics(spark, sf):
+    m = _matched(spark, sf)
+    return matching.stats(m, matching.unmatched(_points(spark, sf, "Person"), m, "set_id"), matching.unmatched(_points(spark, sf, "Place"), m, "target_id"))
+
+
+@query()
+def ivf_topk(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    centroids = ivf.train(c, ivf.partitions(c.count()))
+    return ivf.search(ivf.assign(c, centroids), centroids, X.probe(spark, sf), 10, nprobes=8).select(*COLS)
+
+
+@query()
+def ivf_knn_join(spark, sf):
+    c = X.vector_chunks(spark, sf)
+    centroids = ivf.train(c, ivf.partitions(c.count()))
+    return ivf.knn_join(c, ivf.assign(c, centroids), centroids, 5)
+
+
+# ---- ingest
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x != '') AS t FROM documents),
+  c AS (SELECT *, len(t) AS n, CASE WHEN len(t) <= 439 THEN 1 ELSE CAST(ceil((len(t) - 439) / 377.0) AS INTEGER) + 1 END AS k FROM w),
+  x AS (SELECT *, unnest(range(k)) AS i FROM c)
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, i::INTEGER AS chunk_index, k::INTEGER AS chunk_count, (CASE WHEN k = 1 THEN 0 ELSE i * 377 END)::INTEGER AS chunk_token_start, n::INTEGER AS doc_token_len,
+    sha256(CASE WHEN k = 1 THEN text ELSE array_to_string(t[i * 377 + 1 : i * 377 + 439], ' ') END) AS content FROM x""")
+def chunk_documents(spark, sf):
+    rows = chunking.chunk(X.table(spark, sf, "documents"), 439, 439 // 7)
+    return rows.select("doc_id", "chunk_index", "chunk_count", "chunk_token_start", "doc_token_len", F.sha2("content", 256).alias("content"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 64 AS dim, NULL::VARCHAR AS error FROM documents")
+def embed_documents(spark, sf):
+    rows = X.text_chunks(spark, sf).withColumn("doc_id", F.element_at(F.split("doc_id", "/"), -1))
+    out = embed.embed(rows, embed.HashingProvider(64))
+    return out.select("doc_id", F.size("vector").alias("dim"), "error")
+
+
+@query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'Inserted' WHEN 1 THEN 'Changed' ELSE 'Deleted' END AS op, CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 < 2 THEN text END AS string, true AS valid FROM documents""")
+def parse_operations(spark, sf):
+    d = X.table(spark, sf, "documents")
+    k = F.col("doc_id") % 3
+    op = F.when(k == 0, "Inserted").when(k == 1, "Changed").otherwise("Deleted")
+    lines = d.select(F.to_json(F.struct(op.alias("op"), F.col("doc_id").cast("string").alias("id"), F.when(k < 2, F.col("text")).alias("string"))).alias("value"))
+    return ndjson.parse(lines).select("op", "id", "string", "valid")
+
+
+# ---- versions
+
+
+def _snapshot(spark, sf, branch: str, version: int):
+    return versions.snapshot(*X.commit_states(spark, sf), versions.lineage(X.BRANCHES, branch, version)).select("doc_id", "content")
+
+
+@query(f"WITH {X.STATES_SQL} SELECT * FROM s1")
+def snapshot_first_commit(spark, sf):
+    return _snapshot(spark, sf, "main", 1)
+
+
+@query(f"WITH {X.STATES_SQL} SELECT * FROM s2")
+def snapshot_after_changes(spark, sf):
+    return _snapshot(spark, sf, "main", 2)
+
+
+@query(f"WITH {X.STATES_SQL} SELECT * FROM s3")
+def snapshot_of_fork(spark, sf):
+    return _snapshot(spark, sf, "side", 3)
+
+
+def _states(spark, sf):
+    chunks, tombs = X.commit_states(spark, sf)
+    at = lambda b, v: versions.snapshot(chunks, tombs, versions.lineage(X.BRANCHES, b, v)).select("doc_id", "chunk_index", "content")
+    return at("main", 2), at("side", 3)
+
+
+_DELTA = f"""WITH {X.STATES_SQL}, delta AS (SELECT coalesce(s2.doc_id, s3.doc_id) AS doc_id, CASE WHEN s2.doc_id IS NULL THEN 'added' WHEN s3.doc_id IS NULL THEN 'removed' WHEN s2.content != s3.content THEN 'changed' END AS change
+  FROM s2 FULL JOIN s3 ON s2.doc_id = s3.doc_id)"""
+
+
+@query(f"{_DELTA} SELECT * FROM delta WHERE change IS NOT NULL")
+def version_delta(spark, sf):
+    return versions.delta(*_states(spark, sf))
+
+
+@query(f"WITH {X.STATES_SQL} SELECT * FROM s3")
+def applied_delta(spark, sf):
+    a, b = _states(spark, sf)
+    return versions.apply_delta(a, b, versions.delta(a, b)).select("doc_id", "content")
+
+
+@query(f"""{_DELTA} SELECT doc_id, CASE change WHEN 'added' THEN 'Inserted' WHEN 'removed' THEN 'Deleted' ELSE 'Changed' END AS op FROM delta WHERE change IS NOT NULL""")
+def classify_operations(spark, sf):
+    a, b = _states(spark, sf)
+    return versions.classify(a, b, "doc_id", "content")
+
+
+@query(f"WITH {X.STATES_SQL} SELECT 'common' AS part, doc_id FROM (SELECT doc_id FROM s2 INTERSECT SELECT doc_id FROM s3) UNION ALL SELECT 'removed', doc_id FROM (SELECT doc_id FROM s2 EXCEPT SELECT doc_id FROM s3) UNION ALL SELECT 'added', doc_id FROM (SELECT doc_id FROM s3 EXCEPT SELECT doc_id FROM s2)")
+def id_set_operations(spark, sf):
+    a, b = (s.select("doc_id") for s in _states(spark, sf))
+    part = lambda name, df: df.select(F.lit(name).alias("part"), "doc_id")
+    return part("common", a.intersect(b)).unionByName(part("removed", a.subtract(b))).unionByName(part("added", b.subtract(a)))
+
+
+@query(f"WITH {X.COMMITS_SQL} SELECT commit, branch, version::BIGINT AS version FROM commits")
+def list_commits(spark, sf):
+    return X.commits(spark).select("commit", "branch", "version")
+
+
+@query(f"WITH {X.COMMITS_SQL} SELECT branch, arg_max(commit, version * 1000 + length(commit)) AS commit, max(version)::BIGINT AS version FROM commits GROUP BY branch")
+def last_indexed(spark, sf):
+    return versions.last_indexed(X.commits(spark))
+
+
+@query(f"WITH {X.COMMITS_SQL} SELECT branch, count(*) AS commits FROM commits GROUP BY branch")
+def commits_per_branch(spark, sf):
+    return versions.commits_per_branch(X.commits(spark))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS request, CASE doc_id % 3 WHEN 0 THEN 'c1' WHEN 1 THEN 'c2' END AS served FROM documents""")
+def nearest_indexed_ancestor(spark, sf):
+    d = X.table(spark, sf, "documents")
+    chain = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x1"), F.lit("c1"), F.lit("c2"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("c2"), F.lit("c1"))).otherwise(F.array(F.lit("x2")))
+    return versions.nearest_ancestor(d.select(F.col("doc_id").cast("string").alias("request"), chain.alias("ancestors")), X.commits(spark))
+
+
+@query(f"WITH {X.STATES_SQL} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, false AS clustering, 4::BIGINT AS commits FROM s2")
+def dataset_statistics(spark, sf):
+    live = versions.snapshot(*X.commit_states(spark, sf), versions.lineage(X.BRANCHES, "main", 2))
+    return versions.statistics(live.withColumn("clustering_embedding", F.array(F.lit(0.0))), X.commits(spark))
+
+
+@query("SELECT 'untagged_version' AS problem, 'side' AS branch, 3::BIGINT AS version, NULL::VARCHAR AS detail UNION ALL SELECT 'repeated_commit', 'main', 2, 'c2'")
+def integrity_report(spark, sf):
+    chunks, tombs = X.commit_states(spark, sf)
+    commits = X.commits(spark).where("branch = 'main'")
+    commits = commits.unionByName(commits.where("commit = 'c2'"))
+    branches = spark.createDataFrame(X.BRANCHES, versions.BRANCHES)
+    return versions.integrity(chunks, tombs, commits, branches)
+
+
+@query()
+def streaming_ingest(spark, sf):
+    """All documents as NDJSON files through the stream, then the served snapshot."""
+    from tessera.streaming import ingest
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    root = f"{shared.removeprefix('file://')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-stream-")
+    ops = X.table(spark, sf, "documents").select(F.lit("Inserted").alias("op"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("string"))
+    ndjson.write(ops, f"{root}/in")
+    store = versions.Store.domain(spark, f"{root}/store", "org", "db")
+    ingest.start(spark, f"{root}/in", store, embed.HashingProvider(16), f"{root}/progress").awaitTermination()
+    return store.at("stream-0").select("doc_id", "chunk_index", "chunk_count")
