@@ -29,33 +29,45 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     ones[at] = 1
     packed = np.packbits(ones, bitorder="little").view(np.uint64)
     zeros = 64 - np.bitwise_count(packed).astype(np.int64)
-    sample = np.r_[0, np.cumsum(zeros.reshape(-1, BLOCK).sum(axis=1))[:-1]].astype(np.int64)
-    return {"low": low, "high": packed, "sample": sample, "meta": np.array([n, planes, buckets], np.int64)}
+    by_block = np.cumsum(zeros.reshape(-1, BLOCK), axis=1)
+    sample = np.r_[0, np.cumsum(by_block[:, -1])[:-1]].astype(np.int64)
+    return {"low": low, "high": packed, "sample": sample, "inner": by_block.astype(np.uint16), "meta": np.array([n, planes, buckets], np.int64)}
+
+
+_U = np.uint64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the k-th set bit of a byte.
+_PLACE = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _set = [i for i in range(8) if _byte >> i & 1]
+    _PLACE[_byte, : len(_set)] = _set
+
+
+def select_bit(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th (from 0) set bit of every word."""
+    s = x - ((x >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    cum = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # set bits up to each byte
+    byte = np.minimum(np.bitwise_count((((k.astype(_U) * _ONES) | _TOPS) - cum) & _TOPS), 7).astype(_U)
+    shift = byte << _U(3)
+    rest = k - (((cum << _U(8)) >> shift) & _U(255)).astype(np.int64)
+    return shift.astype(np.int64) + _PLACE[((x >> shift) & _U(255)).astype(np.int64), rest & 7]
 
 
 class EliasFano:
     def __init__(self, part: dict[str, np.ndarray]) -> None:
-        self.low, self.words, self.sample = part["low"], part["high"], part["sample"]
+        self.low, self.words, self.sample, self.inner = part["low"], part["high"], part["sample"], part["inner"]
         self.n, self.planes, self.buckets = (int(x) for x in part["meta"])
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero."""
         block = np.searchsorted(self.sample, k, "right") - 1
         rest = k - self.sample[block]
-        words = self.words.reshape(-1, BLOCK)[block]
-        cum = np.cumsum(64 - np.bitwise_count(words).astype(np.int64), axis=1)
-        which = (cum <= rest[:, None]).sum(axis=1)
-        each = np.arange(len(k))
-        rest = rest - np.where(which > 0, cum[each, np.maximum(which, 1) - 1], 0)
-        word = ~words[each, which]
-        pos = np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            part = (word >> pos.astype(np.uint64)) & np.uint64((1 << width) - 1)
-            n = np.bitwise_count(part).astype(np.int64)
-            right = rest >= n
-            rest = np.where(right, rest - n, rest)
-            pos = np.where(right, pos + width, pos)
-        return block * (64 * BLOCK) + which * 64 + pos
+        upto = self.inner[block]
+        which = (upto <= rest[:, None]).sum(axis=1)
+        rest = rest - np.where(which > 0, upto[np.arange(len(k)), np.maximum(which, 1) - 1], 0)
+        at = block * BLOCK + which
+        return at * 64 + select_bit(~self.words[at], rest)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.uint64)
@@ -63,36 +75,51 @@ class EliasFano:
             out |= self.low[k][i].astype(np.uint64) << np.uint64(8 * k)
         return out
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Number of values below x, that is, the place of the first value >= x."""
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where the buckets of the high parts begin and end."""
+        pos = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0)
+        lo = pos - high
+        # the bucket is the run of ones at pos; most end in the same word
+        word = self.words[pos >> 6] >> (pos & 63).astype(np.uint64)
+        rest = ~word
+        run = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero(run >= 64 - (pos & 63))
+        if len(far):
+            run[far] = self._zero(high[far]) - pos[far]
+        return lo, lo + run
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first value >= x, and whether it is x."""
         x = np.asarray(x, np.uint64)
-        if not self.n:
-            return np.zeros(len(x), np.int64)
-        shift = np.uint64(8 * self.planes)
-        high = np.minimum((x >> shift).astype(np.int64), self.buckets)
+        if not self.n or not len(x):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        high = (x >> np.uint64(8 * self.planes)).astype(np.int64) if self.planes < 8 else np.zeros(len(x), np.int64)
+        inside = high < self.buckets
         low = x & np.uint64((1 << (8 * self.planes)) - 1)
-        lo = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        hi = np.where(high < self.buckets, self._zero(np.minimum(high, self.buckets - 1)) - high, self.n)
-        hi = np.maximum(hi, lo)
+        lo, end = self._bucket(np.minimum(high, self.buckets - 1))
+        lo, end = np.where(inside, lo, self.n), np.where(inside, end, self.n)
+        hi = end.copy()
         live = np.flatnonzero(lo < hi)
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self._low(mid) < low[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        return lo
+            a, b, want = lo[live], hi[live], low[live]
+            mid = (a + b) >> 1
+            less = self._low(mid) < want
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            lo[live], hi[live] = a, b
+            live = live[a < b]
+        hit = np.zeros(len(x), bool)
+        some = np.flatnonzero(lo < end)
+        hit[some] = self._low(lo[some]) == low[some]
+        return lo, hit
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Number of values below x, that is, the place of the first value >= x."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of x, -1 where it is absent."""
-        x = np.asarray(x, np.uint64)
-        at = self.successor(x)
-        hit = np.full(len(x), -1, np.int64)
-        ok = np.flatnonzero(at < self.n)
-        # the found place is in x's bucket or a later one; equal low and a place below the bucket's end say equal
-        end = self.successor(x[ok] + np.uint64(1))
-        hit[ok] = np.where(end > at[ok], at[ok], -1)
-        return hit
+        at, hit = self._search(x)
+        return np.where(hit, at, -1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places i (for pointers): bisect of the bucket by place."""

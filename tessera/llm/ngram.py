@@ -41,12 +41,14 @@ from tessera.llm.eliasfano import EliasFano, encode
 
 VOCAB_SHARDS = 64
 #: Words of text per trie shard, and occurrences after which a middle word is split.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_500_000
 SPLIT = 1_000_000
 MIN_WORD, MIN_TRIGRAM = 2, 2
 DISCOUNT = 0.75
 #: Words looked up at once.
-STEP = 300_000
+STEP = 500_000
+#: Characters of text counted at once.
+PIECE = 5_000_000
 _FLOOR = -23.0  # log of the least quantised value
 
 
@@ -89,7 +91,7 @@ def _load(path: str) -> dict[str, np.ndarray]:
 
 
 def _sub(parts: dict[str, np.ndarray], prefix: str) -> EliasFano:
-    return EliasFano({k: np.asarray(parts[f"{prefix}_{k}"]) for k in ("low", "high", "sample", "meta")})
+    return EliasFano({k: np.asarray(parts[f"{prefix}_{k}"]) for k in ("low", "high", "sample", "inner", "meta")})
 
 
 def _ef(prefix: str, values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -103,11 +105,23 @@ def _pack(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
 
 
+def _pieces(texts: list[str]):
+    """Whole texts, about PIECE characters at once."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _count_words(batches):
     for batch in batches:
-        texts = batch["text"].tolist()
-        for at in range(0, len(texts), 4000):
-            found, n = np.unique(words(texts[at : at + 4000])[0], return_counts=True)
+        for part in _pieces(batch["text"].tolist()):
+            found, n = np.unique(words(part)[0], return_counts=True)
             cut = np.searchsorted(found, np.arange(1, VOCAB_SHARDS, dtype=np.uint64) << np.uint64(64 - VOCAB_SHARDS.bit_length() + 1))
             rows = [(s, len(h), _pack(h, c.astype(np.uint32))) for s, (h, c) in enumerate(zip(np.split(found, cut), np.split(n, cut))) if len(h)]
             yield pd.DataFrame(rows, columns=["shard", "n", "blob"])
@@ -195,7 +209,8 @@ def _order(*columns: np.ndarray) -> np.ndarray:
         return np.lexsort(columns[::-1])
     key = np.zeros(len(columns[0]), np.int64)
     for c, b in zip(columns, bits):
-        key = key << b | c
+        key <<= b
+        key |= c
     return np.argsort(key, kind="stable")
 
 
@@ -207,16 +222,15 @@ def _unique_rows(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndar
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.add.reduceat(n, first) if len(first) else n
+    return [c[first] for c in columns], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n
 
 
 def _count_trigrams(folder: str, sizes: tuple[int, ...], shards: int, unknown: int):
     def run(batches):
         vocabulary = _vocabulary(folder, sizes)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for at in range(0, len(texts), 4000):
-                w1, w2, w3, often = trigrams(vocabulary, *words(texts[at : at + 4000]), unknown)
+            for part in _pieces(batch["text"].tolist()):
+                w1, w2, w3, often = trigrams(vocabulary, *words(part), unknown)
                 shard = shard_of(w1, w2, often, shards)
                 (shard, w2, w1, w3), n = _unique_rows([shard, w2, w1, w3], np.ones(len(w1), np.int64))
                 cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -232,6 +246,26 @@ def _count_trigrams(folder: str, sizes: tuple[int, ...], shards: int, unknown: i
     return run
 
 
+def _distinct(columns: list[np.ndarray], extra: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct rows in order, each row's place among them, and ``extra`` of the distinct rows."""
+    order = _order(*columns)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return [c[new] for c in columns], back, extra[order[new]]
+
+
+def _find_runs(ef: EliasFano, keys: np.ndarray) -> np.ndarray:
+    """Places of keys that come in runs of equal ones."""
+    first = _group_starts(keys)
+    return np.repeat(ef.find(keys[first]), np.diff(np.r_[first, len(keys)]))
+
+
 def _group_starts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
 
@@ -244,12 +278,17 @@ def _build_trigrams(folder: str, size: int, middle_shards: int):
         parts = []
         for b, m in zip(group["blob"], group["n"]):
             step, *rest = _unpack(b, m, *[np.uint32] * 4)
-            parts.append((np.cumsum(step, dtype=np.int64), *(r.astype(np.int64) for r in rest)))
+            parts.append((np.cumsum(step, dtype=np.uint32), *rest))
+        del group
         w2, w1, w3, n = (np.concatenate(c) for c in zip(*parts))
-        (w2, w1, w3), n = _unique_rows([w2, w1, w3], n)
-        # bigrams: times, and different words before
-        (b2, b3), both = _unique_rows([w2, w3], n + (np.int64(1) << 40))
-        times, before = both & ((1 << 40) - 1), both >> 40
+        del parts
+        # 32 bits until here: a shard's rows are held twice while they are sorted
+        rows, n = _unique_rows([w2, w1, w3], n)
+        w2, w1, w3 = (c.astype(np.int64) for c in rows)
+        n = n.astype(np.int64)
+        del rows
+        # bigrams: different words before
+        (b2, b3), before = _unique_rows([w2, w3], np.ones(len(w2), np.int64))
         # contexts with a trigram that is kept
         ctx = _group_starts(w2 * size + w1) if size < 1 << 31 else np.flatnonzero(np.r_[True, (w2[1:] != w2[:-1]) | (w1[1:] != w1[:-1])])
         of = np.zeros(len(n), np.int64)
@@ -285,7 +324,7 @@ def _build_trigrams(folder: str, size: int, middle_shards: int):
         for s in range(middle_shards):
             own = order[cut[s] : cut[s + 1]]
             if len(own):
-                rows.append((s, len(own), _pack(b2[own].astype(np.uint32), b3[own].astype(np.uint32), times[own].astype(np.uint32), before[own].astype(np.uint32)), kb))
+                rows.append((s, len(own), _pack(b2[own].astype(np.uint32), b3[own].astype(np.uint32), before[own].astype(np.uint32)), kb))
         return pd.DataFrame(rows, columns=["shard", "n", "blob", "bytes"])
 
     return run
@@ -296,8 +335,8 @@ def _build_bigrams(folder: str, size: int):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        parts = [[x.astype(np.int64) for x in _unpack(b, m, *[np.uint32] * 4)] for b, m in zip(group["blob"], group["n"])]
-        w2, w3, times, before = (np.concatenate(c) for c in zip(*parts))
+        parts = [[x.astype(np.int64) for x in _unpack(b, m, *[np.uint32] * 3)] for b, m in zip(group["blob"], group["n"])]
+        w2, w3, before = (np.concatenate(c) for c in zip(*parts))
         (b2, b3), before = _unique_rows([w2, w3], before)
         start = _group_starts(b2)
         of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(b2)]))
@@ -340,26 +379,27 @@ class Model:
         vocabulary = _vocabulary(self.folder, self.sizes)
         size = vocabulary.size
         w1, w2, w3, often = trigrams(vocabulary, hashes, counts, self.unknown)
+        # in the order of the shards' keys: look-ups walk the arrays forward, and each is made once
+        (w2, w1, w3), back, often = _distinct([w2, w1, w3], often)
         unigram = np.load(f"{self.folder}/unigram.npy", mmap_mode="r")
         p = np.maximum(_VALUE[unigram[w3]], 1e-10)
         to = (mix64(w2.astype(np.uint64)) % np.uint64(self.middle)).astype(np.int64)
         for own in self._by(to):
-            s = int(to[own[0]])
-            parts, ef = self._shard(f"bi{s:05d}", "mid bi")
-            mid = ef["mid"].find(w2[own])
+            parts, ef = self._shard(f"bi{int(to[own[0]]):05d}", "mid bi")
+            mid = _find_runs(ef["mid"], w2[own])
             ok = np.flatnonzero(mid >= 0)
             at = ef["bi"].find(mid[ok] * size + w3[own[ok]])
             a = np.where(at >= 0, _VALUE[parts["share"][np.maximum(at, 0)]], 0.0)
             p[own[ok]] = a + _VALUE[parts["left"][mid[ok]]] * p[own[ok]]
         to = shard_of(w1, w2, often, self.shards)
         for own in self._by(to):
-            s = int(to[own[0]])
-            if not os.path.isdir(f"{self.folder}/tri{s:05d}"):
+            name = f"tri{int(to[own[0]]):05d}"
+            if name not in self.open and not os.path.isdir(f"{self.folder}/{name}"):
                 continue
-            parts, ef = self._shard(f"tri{s:05d}", "mid ptr succ ctx tri")
-            mid = ef["mid"].find(w2[own])
+            parts, ef = self._shard(name, "mid ptr succ ctx tri")
+            mid = _find_runs(ef["mid"], w2[own])
             own, mid = own[mid >= 0], mid[mid >= 0]
-            ctx = ef["ctx"].find(mid * size + w1[own])
+            ctx = _find_runs(ef["ctx"], mid * size + w1[own])
             own, mid, ctx = own[ctx >= 0], mid[ctx >= 0], ctx[ctx >= 0]
             if not len(own):
                 continue
@@ -367,12 +407,12 @@ class Model:
             a = np.zeros(len(own))
             hit = np.flatnonzero(place >= 0)
             if len(hit):
-                mids, back = np.unique(mid[hit], return_inverse=True)
-                rank = place[hit] - ef["ptr"].access(mids).astype(np.int64)[back]
+                mids, where = np.unique(mid[hit], return_inverse=True)
+                rank = place[hit] - ef["ptr"].access(mids).astype(np.int64)[where]
                 at = ef["tri"].find(ctx[hit] * int(parts["widest"][0]) + rank)
                 a[hit] = np.where(at >= 0, _VALUE[parts["share"][np.maximum(at, 0)]], 0.0)
             p[own] = a + _VALUE[parts["left"][ctx]] * p[own]
-        return np.minimum(p, 1.0)
+        return np.minimum(p, 1.0)[back]
 
     @staticmethod
     def _by(to: np.ndarray):
