@@ -22,7 +22,8 @@ from fractions import Fraction
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,30 +147,34 @@ def decode_rows(codecs: list, payloads: list, rates: list, target: int = TARGET_
 
 
 def decode(audio: DataFrame, target: int = TARGET_RATE) -> DataFrame:
-    """audio (codec, payload, rate, ...) with n_samples, n_out and pcm instead of payload."""
-    made = ["n_samples", "n_out", "pcm"]
-    kept = [f for f in audio.schema.fields if f.name not in (*made, "payload")]
-    ints = [T.StructField("n_samples", T.LongType()), T.StructField("n_out", T.LongType()), T.StructField("pcm", T.BinaryType())]
-
-    @F.pandas_udf("n_samples long, n_out long, pcm binary")
-    def convert(codec: pd.Series, payload: pd.Series, rate: pd.Series) -> pd.DataFrame:
-        rates = [None if pd.isna(r) else int(r) for r in rate]
-        codecs, payloads, pcm, counts = codec.tolist(), payload.tolist(), [], []
-        at = size = 0
-        for i in range(len(codecs) + 1):
-            if i == len(codecs) or size >= PIECE:
-                pcm += [None if s is None else s.astype("<i2").tobytes() for s in decode_rows(codecs[at:i], payloads[at:i], rates[at:i], target)]
-                at, size = i, 0
-            if i < len(codecs):
-                size += len(payloads[i] or b"")
-        for c, p, x in zip(codecs, payloads, pcm):
-            n = None if x is None else len(p) if c != "ima_adpcm" else _adpcm_samples(len(p))
-            counts.append((n, None if x is None else len(x) // 2))
-        return pd.DataFrame({"n_samples": pd.array([a for a, _ in counts], "Int64"), "n_out": pd.array([b for _, b in counts], "Int64"), "pcm": pcm})
-
-    columns = [F.col(f"`{f.name}`") for f in kept]
-    done = audio.select(*columns, convert("codec", "payload", "rate").alias("_pcm"))
-    return done.select(*columns, *[F.col(f"_pcm.{f.name}").alias(f.name) for f in ints])
+    """audio (codec, payload, rate, ...) with n_samples, n_out and pcm instead of payload.
+
+    Arrow batches are cut so that about PIECE payload bytes are decoded and sent
+    on at once, whatever the size of a batch.
+    """
+    made = [T.StructField("n_samples", T.LongType()), T.StructField("n_out", T.LongType()), T.StructField("pcm", T.BinaryType())]
+    kept = [f for f in audio.schema.fields if f.name not in ("n_samples", "n_out", "pcm", "payload")]
+    schema = T.StructType([*kept, *made])
+
+    def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codecs, payloads, rates = (batch.column(c).to_pylist() for c in ("codec", "payload", "rate"))
+        out = decode_rows(codecs, payloads, rates, target)
+        counts = [None if x is None else len(p) if c != "ima_adpcm" else _adpcm_samples(len(p)) for c, p, x in zip(codecs, payloads, out)]
+        sizes = [None if x is None else len(x) for x in out]
+        pcm = pa.array((None if x is None else x.astype("<i2").tobytes() for x in out), pa.binary(), size=len(out))
+        columns = [batch.column(f.name) for f in kept]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pcm], names=[f.name for f in schema.fields])
+
+    def run(batches):
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column("payload")), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(lengths, dtype=np.int64) // PIECE
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-2) != 0) if len(part) else []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                yield convert(batch.slice(i, j - i))
+
+    needed = audio.select(*[F.col(f"`{f.name}`") for f in kept], "payload")
+    return needed.mapInArrow(run, schema)
 
 
 def _adpcm_samples(n: int, block: int = BLOCK) -> int:
