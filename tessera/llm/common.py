@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 
@@ -9,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_name = ctypes.util.find_library("c")
+_LIBC = ctypes.CDLL(_name) if _name and hasattr(ctypes.CDLL(_name), "malloc_trim") else None
 #: A side is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
 #: Texts go through the word splitter in pieces of about this many bytes.
@@ -44,6 +48,25 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def hash_sample(docs: DataFrame, n: int, *columns: str) -> list:
+    """At most n rows, those with the least hashes of doc_id; ties go by the columns.
+
+    The hashes are cut first, so no text of the other rows leaves its scan.
+    """
+    h = F.xxhash64("doc_id")
+    cut = docs.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if cut is None:
+        return []
+    rows = docs.where(h <= cut).select(h.alias("_h"), *columns).collect()
+    return sorted(rows, key=lambda r: [(x is not None, x) for x in r])[:n]
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A strong 64-bit finaliser, elementwise."""
     x = x ^ (x >> np.uint64(33))

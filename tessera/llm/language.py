@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hash_sample, release
+
 #: Labelled documents that the n-gram model is fitted on, at most.
 TRAIN_DOCS = 4_000
 ORDER = 4
@@ -42,7 +44,7 @@ MIN_SHARE = 0.5
 #: ... and they look like that language: average log-probability of an n-gram.
 MIN_FIT = -10.5
 #: Characters taken through Viterbi at once.
-PIECE = 2_000_000
+PIECE = 500_000
 
 SCRIPTS = {
     "el": (r"\p{Greek}",),
@@ -243,14 +245,7 @@ def best_path(score: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarr
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """The model from at most ``train_docs`` labelled documents, chosen by hash."""
-    rows = (
-        docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-        .where("lang is not null and text is not null and length(text) <= 20000")
-        .orderBy("h", "lang", "text")
-        .limit(train_docs)
-        .select("lang", "text")
-        .toLocalIterator()
-    )
+    rows = hash_sample(docs.where("lang is not null and text is not null and length(text) <= 20000"), train_docs, "lang", "text")
     texts = defaultdict(list)
     for row in rows:
         texts[row.lang].append(row.text)
@@ -334,6 +329,7 @@ def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH
                 part["spans"] = [[{"start": i, "end": j, "language": x} for i, j, x in s] for s in part["spans"]]
                 part.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").to_numpy())
                 yield part
+            release()
 
     return docs.select("doc_id", "text").mapInPandas(run, OUT)
 
@@ -347,6 +343,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def accepted(text: pd.Series) -> pd.Series:
         texts = text.tolist()
         found = [x[3] for a, b in pieces(texts) for x in label(model, texts[a:b])]
+        release()
         return pd.Series(found, index=text.index, dtype=bool)
 
     return docs.where(accepted("text"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, shared_dir, small, words, written
+from tessera.llm.common import mix64, release, shared_dir, small, words, written
 from tessera.llm.components import connected_components
 
 THRESHOLD = 0.6
@@ -98,6 +98,7 @@ def _signatures(batches):
         for r in range(ROWS):
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
         yield pd.DataFrame({"doc_id": ids, "content": content, "sig": sigs, "bands": list(key.view(np.int64))})
+        release()
 
 
 def least_matches(threshold: float = THRESHOLD, miss: float = MISS) -> list[int]:

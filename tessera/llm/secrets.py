@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hash_sample
 from tessera.llm.forest import Forest
 
 #: Documents whose words make the dictionary and the transition table, at most.
@@ -247,9 +248,9 @@ class Scanner:
 
 def fit(docs: DataFrame, labelled: DataFrame | None = None, dictionary_docs: int = DICTIONARY_DOCS) -> Scanner:
     """Scanner with a dictionary from at most ``dictionary_docs`` documents chosen by hash."""
-    rows = docs.select("text").where("text is not null and length(text) <= 20000").orderBy(F.xxhash64("text"), "text").limit(dictionary_docs)
+    rows = hash_sample(docs.where("text is not null and length(text) <= 20000"), dictionary_docs, "text")
     words: Counter = Counter()
-    for row in rows.toLocalIterator():
+    for row in rows:
         words.update(w for w in re.findall(r"[^\W\d_]{2,}", row.text.lower()))
     words = Counter({w: n for w, n in words.items() if n >= 2})
     findings = None
