@@ -390,7 +390,8 @@ def resolve_statistics(spark, sf):
 def ivf_topk(spark, sf):
     c = X.vector_chunks(spark, sf)
     centroids = ivf.train(c, ivf.partitions(c.count()))
-    return ivf.search(ivf.assign(c, centroids), centroids, X.probe(spark, sf), 10, nprobes=8).select(*COLS)
+    index = ivf.assign(c, centroids)
+    return ivf.search(index, centroids, X.probe(spark, sf), 10, nprobes=8, radii=ivf.radii(index, centroids)).select(*COLS)
 
 
 @query()

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,8 @@ from tessera.operators import chunking, embed, ivf, matching, search
 from tessera.operators import chunks as C
 from tessera.operators import neighbours as N
 from tessera.operators import text as T
+from tessera.plans import catalog
+from tessera.plans import fixtures as X
 
 
 def chunk_frame(spark, rows):
@@ -221,3 +225,30 @@ def test_ivf_recall(spark):
     true = {(r.src_id, r.nbr_id) for r in N.merge_chunks(N.knn_join(c, c, 3), 3).collect()}
     assert len(near & true) >= 0.9 * len(true)
     assert ivf.partitions(1_060**2) > 16 and ivf.needs_index(300) and not ivf.needs_index(200) and ivf.needs_index(200, force=True)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_registered_ivf_queries_reach_their_recall(spark, sf):
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    c = X.vector_chunks(spark, path)
+    near = {(r.src_id, r.nbr_id) for r in catalog.QUERIES["ivf_knn_join"](spark, path).collect()}
+    true = {(r.src_id, r.nbr_id) for r in N.merge_chunks(N.knn_join(c, c, 5), 5).collect()}
+    assert len(near & true) >= 0.9 * len(true)
+    got = [(r.doc_id, r.chunk_index) for r in catalog.QUERIES["ivf_topk"](spark, path).collect()]
+    exact = search.nearest_chunks(c, X.probe(spark, path), 10).orderBy("distance", "doc_id", "chunk_index").collect()
+    assert sorted(got) == sorted((r.doc_id, r.chunk_index) for r in exact)
+
+
+def test_search_with_radii_is_exact_for_any_probe(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 8)).astype(np.float32)
+    m[7] = 0
+    c = chunk_frame(spark, [(f"d{i}", "T", 0, m[i].tolist(), "") for i in range(300)])
+    centroids = ivf.train(c, 16)
+    index = ivf.assign(c, centroids).cache()
+    reach = ivf.radii(index, centroids)
+    for probe in (m[0].tolist(), (-m[3]).tolist(), [0.0] * 8):
+        exact = [(r.doc_id, r.distance) for r in search.nearest_chunks(c, probe, 10).collect()]
+        assert [(r.doc_id, r.distance) for r in ivf.search(index, centroids, probe, 10, nprobes=1, radii=reach).collect()] == exact
