@@ -13,6 +13,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import ahocorasick
@@ -21,6 +22,11 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.license_rules import Rule, rules
 
+#: White space that is more or other than one blank.
+_RUN = re.compile(r"[^\S ]\s*| \s+")
+#: Letters that a pattern takes for i and s when it ignores case.
+_FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
+
 OUT = "doc_id long, start int, end int, license string, rule string, priority int"
 
 
@@ -37,10 +43,8 @@ class Scanner:
         self.automaton.make_automaton()
 
     def candidates(self, text: str) -> list[int]:
-        """Rules with a keyword in the text; white space counts as a blank."""
-        low = text.lower()
-        if "\n" in low or "\t" in low or "\r" in low:
-            low = low.translate({9: 32, 10: 32, 13: 32})
+        """Rules with a keyword in the text; a run of white space counts as a blank."""
+        low = _RUN.sub(" ", (text if text.isascii() else text.translate(_FOLD)).lower())
         found: set[int] = set()
         for _, own in self.automaton.iter(low):
             found.update(own)

@@ -1,3 +1,7 @@
+import random
+from re import _constants as op
+from re import _parser
+
 import pytest
 
 from tessera.llm import licenses as lc
@@ -57,3 +61,57 @@ def test_edge_cases(spark):
     got = sorted((r.doc_id or -1, r.start, r.license) for r in lc.scan(docs).collect())
     assert got == [(-1, 0, "MIT"), (3, 0, "MIT"), (3, 0, "MIT"), (4, 2_400_000, "MIT")]
     assert lc.scan(docs.where("false")).count() == 0
+
+
+LEFT_OUT = [
+    ("https://opensource.org/license/mit", "MIT"),
+    ("https://opensource.org/license/bsd-3-clause", "BSD-3-Clause"),
+    ("MIT/X11 License", "MIT"),
+    ("Creative Commons Zero", "CC0-1.0"),
+    ("Open RAIL-M", "OpenRAIL-M"),
+    ("Unauthorised copying of this file", "proprietary"),
+    ("MIT  License", "MIT"),
+    ("M\u0130T License", "MIT"),
+    (" * Permission is hereby\n     granted, free of charge, to any\u00a0 person obtaining a copy of this software", "MIT"),
+]
+
+
+@pytest.mark.parametrize("text,want", LEFT_OUT)
+def test_every_alternative_passes_the_gate(text, want):
+    own = lc.scanner()
+    assert [own.rules[n].licence for _, _, n in own.scan(text)] == [want]
+
+
+def written(parts, rng):
+    """A text that a parsed pattern matches, with odd white space."""
+    out = ""
+    for kind, value in parts:
+        if kind is op.LITERAL:
+            out += rng.choice([str.lower, str.upper])(chr(value))
+        elif kind is op.IN:
+            kind, value = rng.choice(value)
+            out += {op.LITERAL: lambda: chr(value), op.RANGE: lambda: chr(value[0]), op.CATEGORY: lambda: rng.choice(" \n\t\u00a0") if value is op.CATEGORY_SPACE else "1"}[kind]()  # noqa: B023
+        elif kind is op.SUBPATTERN:
+            out += written(value[-1], rng)
+        elif kind is op.BRANCH:
+            out += written(rng.choice(value[1]), rng)
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+            low, high, inner = value
+            out += "".join(written(inner, rng) for _ in range(rng.randint(low, min(int(high), low + 2))))
+        elif kind is op.ANY:
+            out += "x"
+        else:
+            assert kind in (op.AT, op.ASSERT, op.ASSERT_NOT)
+    return out
+
+
+def test_gate_against_texts_written_from_every_rule():
+    own, rng = lc.scanner(), random.Random(3)
+    every = list(range(len(own.rules)))
+    for n, rule in enumerate(own.rules):
+        tree = _parser.parse(rule.pattern.pattern, rule.pattern.flags)
+        for i in range(40):
+            text = f"so {written(tree, rng)} it"
+            assert n in own.candidates(text) or not rule.pattern.search(text), (rule.name, text)
+            if i == n % 40:
+                assert own.scan(text) == lc.resolve(own.detections(text, every), own.rules)
