@@ -1,13 +1,15 @@
 """Operator 3: language of every span of a document.
 
-The script of a word (Unicode ranges) narrows its candidates: a Latin word may
-be any of the trained languages, a Hangul word only Korean, and so on.  Inside
-the Latin script a word's score is a character n-gram model of each language,
-trained here on documents with a known ``lang``; Viterbi over the words with a
-penalty for every switch gives the spans.  Words of digits or of no known
-script score nothing and take their neighbours' language.
-
-Cases: null, empty and wordless texts have no spans, language ``und`` and
+The script of a word (Unicode ranges) narrows its candidates to the languages
+whose labelled documents are written in it.  A word's score is a character
+n-gram model of each language and script, trained here on documents with a known
+``lang``; Viterbi over the words with a penalty for every switch gives the spans.
+A script that no labelled language is written in stands for the language in
+``SCRIPTS`` (fit 0, as there is nothing to compare with), any other for ``und``.
+Words of digits or of letters common to scripts score nothing and take their
+neighbours' language.
+
+Cases: null, empty and letterless texts have no spans, language ``und`` and
 ``accepted`` false; a null ``doc_id`` is kept as null; rows that repeat a
 document give equal rows; ties go to the first language in order of name;
 without any labelled document all Latin words are ``und``; an empty table gives
@@ -16,6 +18,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from functools import cache
 
@@ -29,13 +32,15 @@ from tessera.llm.common import hash_sample, release
 
 #: Labelled documents that the n-gram model is fitted on, at most.
 TRAIN_DOCS = 4_000
+#: Documents counted at once.
+TRAIN_BATCH = 20
 ORDER = 4
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 17
 SMOOTH = 0.002
 #: Log-probability lost at a switch of language.
 SWITCH = 7.0
-#: The most that one Latin word can speak against a Latin language.
+#: The most that one word can speak against a language of its script.
 CAP = 4.0
 #: Score of a language that the script of a word rules out.
 RULED_OUT = -40.0
@@ -43,6 +48,10 @@ RULED_OUT = -40.0
 MIN_SHARE = 0.5
 #: ... and they look like that language: average log-probability of an n-gram.
 MIN_FIT = -10.5
+#: A language is written in a script that holds such a share of its labelled letters.
+WRITTEN = 0.1
+#: Outside Latin script fits are moved so that labelled text has, on average, MIN_FIT and this.
+FIT_MARGIN = 3.0
 #: Characters taken through Viterbi at once.
 PIECE = 500_000
 
@@ -57,13 +66,27 @@ SCRIPTS = {
     "ja": (r"[\p{Hiragana}\p{Katakana}]",),
     "zh": (r"\p{Han}",),
 }
+#: Blocks of scripts that stand for no language by themselves.
+BLOCKS = {
+    "Armenian": [(0x530, 0x590)], "Syriac": [(0x700, 0x750)], "Thaana": [(0x780, 0x7C0)], "NKo": [(0x7C0, 0x800)],
+    "Bengali": [(0x980, 0xA00)], "Gurmukhi": [(0xA00, 0xA80)], "Gujarati": [(0xA80, 0xB00)], "Oriya": [(0xB00, 0xB80)],
+    "Tamil": [(0xB80, 0xC00)], "Telugu": [(0xC00, 0xC80)], "Kannada": [(0xC80, 0xD00)], "Malayalam": [(0xD00, 0xD80)],
+    "Sinhala": [(0xD80, 0xE00)], "Lao": [(0xE80, 0xF00)], "Tibetan": [(0xF00, 0x1000)], "Myanmar": [(0x1000, 0x10A0)],
+    "Georgian": [(0x10A0, 0x1100), (0x1C90, 0x1CC0), (0x2D00, 0x2D30)], "Ethiopic": [(0x1200, 0x13A0), (0x2D80, 0x2DE0)],
+    "Cherokee": [(0x13A0, 0x1400), (0xAB70, 0xABC0)], "Canadian": [(0x1400, 0x1680)], "Khmer": [(0x1780, 0x1800)],
+    "Mongolian": [(0x1800, 0x18B0)], "Ol Chiki": [(0x1C50, 0x1C80)], "Tifinagh": [(0x2D30, 0x2D80)], "Yi": [(0xA000, 0xA4D0)],
+    "Javanese": [(0xA980, 0xA9E0)], "Meetei": [(0xAAE0, 0xAB00), (0xABC0, 0xAC00)], "Adlam": [(0x1E900, 0x1E960)],
+}
 _NONE, _LATIN, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = {code: 4 + i for i, code in enumerate(SCRIPTS)}
+_BLOCK = {name: 4 + len(SCRIPTS) + i for i, name in enumerate(BLOCKS)}
+#: All further scripts together.
+_REST = 4 + len(SCRIPTS) + len(BLOCKS)
 
 
 @cache
 def script_table() -> np.ndarray:
-    """Class of every code point: none, Latin, digit, other letter, or a script."""
+    """Class of every code point: none, Latin, digit, letter common to scripts, or a script."""
     table = np.zeros(0x110000, np.uint8)
     points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
 
@@ -72,11 +95,16 @@ def script_table() -> np.ndarray:
             a, b = (ord(m.group()[0]), ord(m.group()[-1]))
             table[a : b + 1] = value  # a run may cross the surrogates, which are no text
 
-    mark(r"\p{L}", _OTHER)
+    mark(r"\p{L}", _REST)
     mark(r"\p{N}", _DIGIT)
+    for name, parts in BLOCKS.items():
+        for at in (c for a, b in parts for c in range(a, b)):
+            if unicodedata.category(chr(at))[0] in "LM":
+                table[at] = _BLOCK[name]
     for code, (pattern,) in SCRIPTS.items():
         mark(pattern, _CLASS[code])
     mark(r"\p{Latin}", _LATIN)
+    mark(r"(?=\p{L})[\p{Common}\p{Inherited}]", _OTHER)
     table[0xD800:0xE000] = _NONE
     return table
 
@@ -110,61 +138,78 @@ class Words:
         self.counts = np.diff(np.searchsorted(self.begin, stops), prepend=0)
 
     def grams(self):
-        """For every order: (word, bucket) of the n-grams of Latin words with their boundaries."""
-        latin = self.kind == _LATIN
-        code = np.where(latin, self.codes, 1).astype(np.uint32)
-        of = np.cumsum(np.bincount(self.begin, minlength=len(code))[: len(code)]) - 1
+        """For every order: (word, bucket) of the n-grams of lettered words with their boundaries."""
+        lettered = (self.kind == _LATIN) | (self.kind > _OTHER)
+        same = self.kind[1:] == self.kind[:-1]
+        of = np.cumsum(np.bincount(self.begin, minlength=len(self.kind))[: len(self.kind)]) - 1
         for n in range(2, ORDER + 1):
-            if len(code) < n:
+            if len(self.codes) < n:
                 return
-            m = len(code) - n + 1
-            ok = latin[:m] | latin[1 : m + 1] if n == 2 else latin[1 : m + 1].copy()
+            m = len(self.codes) - n + 1
+            ok = lettered[:m] | lettered[1 : m + 1] if n == 2 else lettered[1 : m + 1].copy()
             for k in range(2, n - 1):
-                ok &= latin[k : m + k]
+                ok &= same[k - 1 : m + k - 1]
             at = np.flatnonzero(ok)
+            left = lettered[at] if n == 2 else same[at]
+            right = (same[at] | ~left) if n == 2 else same[at + n - 2]
             h = np.full(len(at), n, np.uint32)
             for k in range(n):
-                h = h * np.uint32(1_000_003) + code[at + k]
+                code = self.codes[at + k]
+                h = h * np.uint32(1_000_003) + (np.where(left, code, np.uint32(1)) if k == 0 else np.where(right, code, np.uint32(1)) if k == n - 1 else code)
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
             word = of[at + 1]
             if n == 2:
-                word = np.where(latin[at], of[at], word)
+                word = np.where(left, of[at], word)
             yield word, (h >> np.uint32(15)).astype(np.int64)
 
 
 class Model:
-    """Languages in order of name; for Latin words a table of n-gram log-probabilities."""
+    """Languages in order of name; for each script's languages tables of n-gram log-probabilities.
 
-    def __init__(self, latin: list[str], table: np.ndarray) -> None:
-        self.latin, self.table = latin, table
-        self.langs = sorted({*latin, *SCRIPTS, "und"})
+    tables: class of a script -> (languages, a row of log-probabilities for each, what to add to their fits).
+    """
+
+    def __init__(self, tables: dict[int, tuple[list[str], np.ndarray, np.ndarray]]) -> None:
+        self.tables = tables
+        self.latin = tables[_LATIN][0] if _LATIN in tables else []
+        self.langs = sorted({*(x for langs, _, _ in tables.values() for x in langs), *SCRIPTS, "und"})
         self.at = {x: i for i, x in enumerate(self.langs)}
 
     def scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(word x language) scores for Viterbi; average log-probability of a Latin word's n-grams."""
+        """(word x language) scores for Viterbi; average log-probability of a word's n-grams."""
         n = len(words.begin)
         score = np.full((n, len(self.langs)), RULED_OUT, np.float32)
         fit = np.zeros((n, len(self.langs)), np.float32)
-        latin = words.cls == _LATIN
-        if self.latin:
-            total = np.zeros((n, len(self.latin)))
-            count = np.zeros(n)
-            for word, bucket in words.grams():
-                count += np.bincount(word, minlength=n)
-                for j in range(len(self.latin)):
-                    total[:, j] += np.bincount(word, weights=self.table[j][bucket], minlength=n)
+        here = {int(c) for c in np.unique(words.cls)} - {_DIGIT, _OTHER}
+        totals = {c: np.zeros((n, len(self.tables[c][0]))) for c in here if c in self.tables}
+        count = np.zeros(n)
+        for word, bucket in words.grams() if totals else ():
+            count += np.bincount(word, minlength=n)
+            of = words.cls[word]
+            for c, total in totals.items():
+                own = of == c
+                w, b = (word, bucket) if own.all() else (word[own], bucket[own])
+                for j, row in enumerate(self.tables[c][1]):
+                    total[:, j] += np.bincount(w, weights=row[b], minlength=n)
+        for c, total in totals.items():
+            own = words.cls == c
             part = np.maximum(total - total.max(axis=1, keepdims=True), -CAP)
-            for j, lang in enumerate(self.latin):
-                score[latin, self.at[lang]] = part[latin, j]
-                fit[latin, self.at[lang]] = (total[:, j] / np.maximum(count, 1))[latin]
-        else:
-            score[latin, self.at["und"]] = 0
+            for j, lang in enumerate(self.tables[c][0]):
+                score[own, self.at[lang]] = part[own, j]
+                fit[own, self.at[lang]] = (total[:, j] / np.maximum(count, 1))[own] + self.tables[c][2][j]
         score[(words.cls == _DIGIT) | (words.cls == _OTHER)] = 0
-        for code, cls in _CLASS.items():
-            score[words.cls == cls, self.at[code]] = 0
+        default = {cls: code for code, cls in _CLASS.items()}
+        for c in here - set(totals):
+            score[words.cls == c, self.at[default.get(c, "und")]] = 0
         # Han alone may be Japanese; the kana around it decide
-        score[words.cls == _CLASS["zh"], self.at["ja"]] = -1.0
+        han = words.cls == _CLASS["zh"]
+        known = self.tables.get(_CLASS["zh"], ((), None, None))[0]
+        if "zh" not in known:
+            score[han] = np.maximum(score[han] - 1, RULED_OUT)
+            score[han, self.at["zh"]] = 0
+        if "ja" not in known:
+            score[han, self.at["ja"]] = -1.0
         return score, fit
 
 
@@ -252,22 +297,59 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     return train(texts)
 
 
+class Counts:
+    """n-grams and letters of every language in every script; documents go to two halves in turn."""
+
+    def __init__(self) -> None:
+        self.grams: dict[tuple[int, str], np.ndarray] = {}
+        self.letters: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        self.half = 0
+
+    def add(self, lang: str, texts: list[str]) -> None:
+        for at, to in pieces(texts):
+            self.half ^= 1
+            words = Words(texts[at:to])
+            size = np.bincount(words.cls, weights=words.end - words.begin, minlength=256)
+            own = [c for c in np.flatnonzero(size).tolist() if c not in (_DIGIT, _OTHER)]
+            for c in own:
+                self.letters[lang][c] += int(size[c])
+                self.grams.setdefault((c, lang), np.zeros((2, BUCKETS)))
+            for word, bucket in words.grams():
+                of = words.cls[word]
+                for c in own:
+                    self.grams[c, lang][self.half] += np.bincount(bucket[of == c], minlength=BUCKETS)
+
+    def model(self) -> Model:
+        """Smoothed log-probabilities of hashed n-grams, a row for each language that a script is written in."""
+        written = {}
+        for lang, size in self.letters.items():
+            least = min(WRITTEN * sum(size.values()), max(size.values()))
+            for c in (c for c, k in size.items() if k >= least):
+                written.setdefault(c, []).append(lang)
+        tables = {}
+        for c, langs in written.items():
+            langs.sort()
+            halves = np.array([self.grams[c, x] for x in langs])
+            # smoothed towards all languages, so that an n-gram seen nowhere says nothing
+            shared = (halves.sum(axis=(0, 1))[None] + 1) / (halves.sum() + BUCKETS)
+            smooth = lambda k: np.log((k / np.maximum(k.sum(axis=1, keepdims=True), 1) + SMOOTH * shared) / (1 + SMOOTH))  # noqa: B023, E731
+            shift = np.zeros(len(langs))
+            if c != _LATIN:
+                for j, (a, b) in enumerate(halves):
+                    other = (b * smooth(a[None])[0]).sum() / max(b.sum(), 1)
+                    # a language of a single piece has nothing to be compared with
+                    shift[j] = MIN_FIT + FIT_MARGIN - other if a.any() and b.any() else -MIN_FIT * 2
+            tables[c] = (langs, smooth(halves.sum(axis=1)).astype(np.float32), shift)
+        return Model(tables)
+
+
 def train(texts: dict[str, list[str]]) -> Model:
-    """Smoothed log-probabilities of hashed n-grams, one row per language."""
-    latin = sorted(texts)
-    counts = np.zeros((len(latin), BUCKETS))
-    for j, lang in enumerate(latin):
-        for at in range(0, len(texts[lang]), 200):
-            for _, bucket in Words(texts[lang][at : at + 200]).grams():
-                counts[j] += np.bincount(bucket, minlength=BUCKETS)
-    seen = counts.sum(axis=1) > 0
-    latin, counts = [x for x, ok in zip(latin, seen) if ok], counts[seen]
-    if latin:
-        total = counts.sum(axis=1, keepdims=True)
-        # smoothed towards all languages, so that an n-gram seen nowhere says nothing
-        shared = (counts.sum(axis=0, keepdims=True) + 1) / (counts.sum() + BUCKETS)
-        counts = np.log((counts / total + SMOOTH * shared) / (1 + SMOOTH))
-    return Model(latin, counts.astype(np.float32))
+    """The model of texts by language."""
+    counts = Counts()
+    for lang in sorted(texts):
+        for at in range(0, len(texts[lang]), TRAIN_BATCH):
+            counts.add(lang, texts[lang][at : at + TRAIN_BATCH])
+    return counts.model()
 
 
 OUT = "doc_id long, language string, share double, fit double, accepted boolean, spans array<struct<start:int,end:int,language:string>>"
@@ -277,11 +359,11 @@ def label(model: Model, texts: list, switch: float = SWITCH) -> list[tuple]:
     """(language, share, fit, accepted, spans) of every text; span ends are characters."""
     words = Words(texts)
     score, fits = model.scores(words)
-    used = np.flatnonzero((score > RULED_OUT).any(axis=0)) if len(score) else np.zeros(1, np.int64)
+    lettered = (words.cls != _DIGIT) & (words.cls != _OTHER)
+    used = np.flatnonzero((score[lettered] > RULED_OUT).any(axis=0)) if lettered.any() else np.zeros(1, np.int64)
     path = used[best_path(score[:, used], words.counts, switch)]
     fits = fits[np.arange(len(path)), path]
     chars = words.end - words.begin
-    lettered = words.cls != _DIGIT
     out, at = [], 0
     for i, n in enumerate(words.counts.tolist()):
         cut = slice(at, at + n)

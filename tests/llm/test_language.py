@@ -88,3 +88,19 @@ def test_fit_reads_labels(spark):
     rows = [(i, invented(x, rng, 40), x, "zz", 1) for i, x in enumerate(["aa", "bb"] * 10)] + [(99, None, "aa", "", 0), (98, "t", None, "", 0)]
     model = lg.fit(spark.createDataFrame(rows, SCHEMA))
     assert model.latin == ["aa", "bb"]
+
+
+def test_every_script_is_scored_by_the_labels():
+    rng = np.random.default_rng(6)
+    parts = {"ru": ["ого", "ени", "ть", "ы", "при"], "uk": ["ії", "ськ", "ти", "є", "від"], "bg": ["ът", "ята", "щ", "не", "пред"], "ta": ["தமி", "ழ்", "கள்", "ன்"], "en": ["the", "ing", "er", "and"]}
+    draw = lambda x, n: " ".join("".join(rng.choice(parts[x], rng.integers(1, 4))) for _ in range(n))
+    model = lg.train({x: [draw(x, 60) for _ in range(40)] for x in parts})
+    for lang in parts:
+        got = lg.label(model, [draw(lang, 40) for _ in range(20)])
+        assert np.mean([g[0] == lang and g[3] for g in got]) >= 0.95, lang
+    mixed = lg.label(model, [f"{draw('uk', 25)} {draw('en', 25)} {draw('bg', 25)}"])[0]
+    assert [x for _, _, x in mixed[4]] == ["uk", "en", "bg"]
+    noise = " ".join("".join(chr(int(c)) for c in rng.integers(0x430, 0x450, 7)) for _ in range(60))
+    assert not lg.label(model, [noise])[0][3]
+    for text in ("বাংলা ভাষা", "ქართული ენა", "Հայերեն լեզու", "\u02bc\u02bb\u02bc"):
+        assert lg.label(model, [text])[0][0] == "und" and not lg.label(model, [text])[0][3]
