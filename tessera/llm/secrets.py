@@ -10,6 +10,10 @@ Without them the forest is trained on ``labelled_findings()``, a fixed set
 written here: random credentials in the contexts they leak in, against hashes,
 identifiers, placeholders, paths, encoded images and long plain words.
 
+The dictionary and the transitions count every word of every document, in one
+aggregate; only the 4-letter pieces and letter pairs, and for the generated
+findings a bounded choice of words, reach the driver.
+
 Cases: null and empty texts have no findings; a null ``doc_id`` is kept as
 null; rows that repeat a document give equal findings; of overlapping
 candidates a known shape stays, else the longer, of equal ones the first; an empty table gives an
@@ -28,11 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_sample
+from tessera.llm.common import release, shared_dir, written
 from tessera.llm.forest import Forest
 
-#: Documents whose words make the dictionary and the transition table, at most.
-DICTIONARY_DOCS = 2_000
+#: Words that the generated findings are made of, at most; they are a sample, chosen by hash.
+FINDING_WORDS = 50_000
+#: A 4-letter piece or a word is an ordinary one if it occurs so often; a piece also that often among all
+#: words, as in a large corpus any piece of random tokens comes three times.
+MIN_PIECE = 3
+PIECE_SHARE = 3e-8
+MIN_WORD = 2
 DECISION = 0.5
 #: Characters of context on either side.
 CONTEXT = 48
@@ -57,19 +66,39 @@ FEATURES = (
 ).split()
 
 
+#: The most that one word counts in the letter transitions, and from 1,000,000 words on its share of them.
+WORD_CAP = 50
+CAP_SHARE = 5e-5
+
+
+def _pairs(word: str) -> tuple[list[int], list[int]]:
+    at = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in f" {word} "]
+    return at[:-1], at[1:]
+
+
 class Dictionary:
-    """Letter transitions and pieces of ordinary words."""
+    """Letter transitions and pieces of ordinary words, from words and how often they occur."""
 
     def __init__(self, words: Counter) -> None:
-        counts = np.ones((27, 27))
+        counts = np.zeros((27, 27))
         pieces: Counter = Counter()
         for word, n in words.items():
-            at = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in f" {word} "]
-            np.add.at(counts, (at[:-1], at[1:]), min(n, 50))
+            np.add.at(counts, _pairs(word), min(n, WORD_CAP))
             for i in range(len(word) - 3):
                 pieces[word[i : i + 4]] += n
+        self._set(counts, (p for p, n in pieces.items() if n >= MIN_PIECE))
+
+    @classmethod
+    def of(cls, counts: np.ndarray, pieces) -> Dictionary:
+        """From counts of letter pairs and the frequent pieces."""
+        own = cls.__new__(cls)
+        own._set(counts, pieces)
+        return own
+
+    def _set(self, counts: np.ndarray, pieces) -> None:
+        counts = counts + 1
         self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
-        self.pieces = frozenset(p for p, n in pieces.items() if n >= 3)
+        self.pieces = frozenset(pieces)
 
     def transitions(self, token: str) -> tuple[float, float]:
         at = np.frombuffer(token.lower().encode("ascii", "replace"), np.uint8).astype(np.int64) - 96
@@ -220,8 +249,8 @@ def labelled_findings(words: list[str], n: int = 6_000, seed: int = 13) -> list[
 
 
 class Scanner:
-    def __init__(self, words: Counter, labelled: list[tuple[str, str, str, int]] | None = None) -> None:
-        self.dictionary = Dictionary(words)
+    def __init__(self, words: Counter, labelled: list[tuple[str, str, str, int]] | None = None, dictionary: Dictionary | None = None) -> None:
+        self.dictionary = dictionary or Dictionary(words)
         plain = sorted(w for w in words if w.isascii() and w.isalpha())
         labelled = labelled or labelled_findings(plain)
         x = np.array([features(self.dictionary, b, c, a) for b, c, a, _ in labelled])
@@ -246,17 +275,74 @@ class Scanner:
         return out
 
 
-def fit(docs: DataFrame, labelled: DataFrame | None = None, dictionary_docs: int = DICTIONARY_DOCS) -> Scanner:
-    """Scanner with a dictionary from at most ``dictionary_docs`` documents chosen by hash."""
-    rows = hash_sample(docs.where("text is not null and length(text) <= 20000"), dictionary_docs, "text")
-    words: Counter = Counter()
-    for row in rows:
-        words.update(w for w in re.findall(r"[^\W\d_]{2,}", row.text.lower()))
-    words = Counter({w: n for w, n in words.items() if n >= 2})
-    findings = None
+_WORD = re.compile(r"[^\W\d_]{2,}")
+#: Distinct words that a task holds before it passes their counts on, and characters it splits at once.
+HELD_WORDS = 200_000
+PIECE = 1 << 20
+
+
+def _word_counts(batches):
+    held: Counter = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            at = 0
+            while at < len(text):
+                stop = at + PIECE
+                while stop < len(text) and text[stop].isalnum():
+                    stop += 1
+                held.update(_WORD.findall(text[at:stop].lower()))
+                at = stop
+                if len(held) >= HELD_WORDS:
+                    yield pd.DataFrame(held.items(), columns=["word", "n"])
+                    held.clear()
+    if held:
+        yield pd.DataFrame(held.items(), columns=["word", "n"])
+    release()
+
+
+def _piece_counts(cap: int):
+    """Counts of 4-letter pieces, and of letter pairs under names of two numbers."""
+
+    def run(batches):
+        held: Counter = Counter()
+        pairs = np.zeros((27, 27), np.int64)
+        for batch in batches:
+            for word, n in zip(batch["word"], batch["n"].tolist()):
+                np.add.at(pairs, _pairs(word), min(n, cap))
+                for i in range(len(word) - 3):
+                    piece = word[i : i + 4]
+                    # others cover nothing: tokens are looked up by runs of a to z
+                    if piece.isascii():
+                        held[piece] += n
+        found = [*held.items(), *((f"{i} {j}", int(pairs[i, j])) for i, j in zip(*np.nonzero(pairs)))]
+        if found:
+            yield pd.DataFrame(found, columns=["piece", "n"])
+        release()
+
+    return run
+
+
+def fit(docs: DataFrame, labelled: DataFrame | None = None, finding_words: int = FINDING_WORDS) -> Scanner:
+    """Scanner with a dictionary of all words of all documents."""
+    words = docs.where("text is not null").select("text").mapInPandas(_word_counts, "word string, n long")
+    words = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_WORD)
+    words = written(words, shared_dir(docs.sparkSession) + "/words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    cap, least = max(WORD_CAP, round(CAP_SHARE * total)), max(MIN_PIECE, round(PIECE_SHARE * total))
+    pieces = words.mapInPandas(_piece_counts(cap), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts, frequent = np.zeros((27, 27)), []
+    for row in pieces.where(F.col("n") >= F.when(F.col("piece").contains(" "), 1).otherwise(least)).collect():
+        if " " in row.piece:
+            i, j = map(int, row.piece.split())
+            counts[i, j] = row.n
+        else:
+            frequent.append(row.piece)
+    findings, chosen = None, []
     if labelled is not None:
         findings = sorted((r.before or "", r.candidate, r.after or "", r.label) for r in labelled.where("candidate is not null and label is not null").toLocalIterator())
-    return Scanner(words, findings)
+    if not findings:
+        chosen = [r.word for r in words.where(F.col("word").rlike("^[a-z]+$")).orderBy(F.xxhash64("word"), "word").limit(finding_words).collect()]
+    return Scanner(Counter(chosen), findings, Dictionary.of(counts, frequent))
 
 
 OUT = "doc_id long, start int, end int, kind string, score double, masked string"

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import numpy as np
@@ -86,3 +87,18 @@ def test_labelled_table_is_used(spark, scanner):
     docs = spark.createDataFrame([(1, "the house " * 5, 1, "", "")], SCHEMA)
     own = sc.fit(docs, labelled)
     assert np.mean((own.scores([r[:3] for r in rows]) >= 0.5) == np.array([r[3] for r in rows])) > 0.95
+
+
+def test_dictionary_counts_every_document(spark):
+    """Words of long documents and of more documents than any sample, against one Counter over all."""
+    rng = np.random.default_rng(3)
+    low = list("abcdefghijklmnopqrstuvwxyz")
+    texts = [" ".join("".join(rng.choice(low, rng.integers(2, 9))) for _ in range(4)) for _ in range(2_500)]
+    texts += ["Fjordwanderung \u00fcberall " + "plain words " * 3_000 + "fjordwanderung fjordwanderung", None, ""]
+    docs = spark.createDataFrame([(i, t, 1, "", "") for i, t in enumerate(texts)], SCHEMA)
+    words = Counter(w for t in texts if t for w in re.findall(r"[^\W\d_]{2,}", t.lower()))
+    want = sc.Dictionary(Counter({w: n for w, n in words.items() if n >= 2}))
+    got = sc.fit(docs).dictionary
+    assert got.log == pytest.approx(want.log)
+    assert got.pieces == {p for p in want.pieces if p.isascii()} and "fjor" in got.pieces
+    assert got.coverage("fjordwanderung") == 1
