@@ -26,12 +26,13 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_sample, release
+from tessera.llm.common import release, small
 
-#: Labelled documents that the n-gram model is fitted on, at most.
-TRAIN_DOCS = 4_000
+#: Labelled documents of each language that the n-gram model is fitted on, at most.
+TRAIN_DOCS = 1_000
 #: Documents counted at once.
 TRAIN_BATCH = 20
 ORDER = 4
@@ -289,12 +290,32 @@ def best_path(score: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarr
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """The model from at most ``train_docs`` labelled documents, chosen by hash."""
-    rows = hash_sample(docs.where("lang is not null and text is not null and length(text) <= 20000"), train_docs, "lang", "text")
-    texts = defaultdict(list)
-    for row in rows:
-        texts[row.lang].append(row.text)
-    return train(texts)
+    """The model from at most ``train_docs`` whole documents of each labelled language, chosen by hash.
+
+    The hashes are cut first, so no text of the other rows leaves its scan.
+    """
+    docs = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    first = docs.select("lang", "h").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= train_docs)
+    cut = {r.lang: r.h for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    counts = Counts()
+    if not cut:
+        return counts.model()
+    last = docs.sparkSession.createDataFrame(list(cut.items()), "lang string, last long")
+    rows = docs.join(small(last, len(cut)), "lang").where("h <= last").select("lang", "h", "text").orderBy("lang", "h", "text")
+    lang, seen, held = None, 0, []
+    for row in rows.toLocalIterator():
+        if row.lang != lang:
+            counts.add(lang, held)
+            lang, seen, held = row.lang, 0, []
+        seen += 1
+        if seen > train_docs:  # rows that are repeated have equal hashes
+            continue
+        held.append(row.text)
+        if len(held) == TRAIN_BATCH:
+            counts.add(lang, held)
+            held = []
+    counts.add(lang, held)
+    return counts.model()
 
 
 class Counts:
@@ -306,6 +327,7 @@ class Counts:
         self.half = 0
 
     def add(self, lang: str, texts: list[str]) -> None:
+        texts = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
         for at, to in pieces(texts):
             self.half ^= 1
             words = Words(texts[at:to])

@@ -104,3 +104,15 @@ def test_every_script_is_scored_by_the_labels():
     assert not lg.label(model, [noise])[0][3]
     for text in ("বাংলা ভাষা", "ქართული ენა", "Հայերեն լեզու", "\u02bc\u02bb\u02bc"):
         assert lg.label(model, [text])[0][0] == "und" and not lg.label(model, [text])[0][3]
+
+
+def test_rare_and_long_languages_are_in_the_model(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, invented("aa", rng, 4), "aa", "", 0) for i in range(4_500)]
+    rows += [(5_000, invented("bb", rng, 5_000), "bb", "", 0), (5_001, invented("cc", rng, 30), "cc", "", 0)]
+    assert len(rows[-2][1]) > 20_000
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = lg.fit(docs)
+    assert model.latin == ["aa", "bb", "cc"]
+    got = lg.label(model, [invented(x, rng, 30) for x in ("bb", "cc") for _ in range(10)])
+    assert [g[0] for g in got] == ["bb"] * 10 + ["cc"] * 10
