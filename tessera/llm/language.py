@@ -259,8 +259,9 @@ def viterbi(score: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray
 def best_path(score: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """The path of ``viterbi``, without stepping through documents of one language.
 
-    If no run of words gains more than one switch costs by being in another
-    language than the document's best, no path with switches beats that one.
+    A path with s switches has at most s + 1 runs in another language than the
+    document's best; if none gains more than half of what a switch costs, all of
+    them gain no more than the s switches cost, and no path beats that one.
     """
     lengths = np.asarray(lengths, np.int64)
     if not len(score):
@@ -282,7 +283,7 @@ def best_path(score: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarr
         low = np.minimum.accumulate(before + level) - level
         gain = np.maximum(gain, np.maximum.reduceat(c - low, first))
     path = main[row].astype(np.int16)
-    mixed = gain > switch - 1e-3
+    mixed = gain > switch / 2 - 1e-3
     if mixed.any():
         own = mixed[row]
         path[own] = viterbi(score[own], size[mixed], switch)

@@ -116,3 +116,8 @@ def test_rare_and_long_languages_are_in_the_model(spark):
     assert model.latin == ["aa", "bb", "cc"]
     got = lg.label(model, [invented(x, rng, 30) for x in ("bb", "cc") for _ in range(10)])
     assert [g[0] for g in got] == ["bb"] * 10 + ["cc"] * 10
+
+
+def test_short_cut_sees_two_runs_that_avoid_the_main_language():
+    score = np.array([[0, -4, -1.5]] * 4 + [[-4, 0, -1.5]] * 4)
+    assert lg.best_path(score, np.array([8]), 7.0).tolist() == [0] * 4 + [1] * 4
