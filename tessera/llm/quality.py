@@ -10,7 +10,8 @@ selected; a null doc_id is kept as null; rows that repeat a document give equal
 rows; without ratings, or with ratings of one grade only, everything with a
 text is selected with tail 1; ratings of unknown documents and null ratings are
 ignored; of two ratings of a document the higher counts; an empty table gives an
-empty result; other columns are ignored.
+empty result; very long texts are read whole; a tail equal to ``SELECT_TAIL`` is
+selected; other columns are ignored.
 """
 
 from __future__ import annotations
