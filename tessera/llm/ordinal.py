@@ -29,9 +29,9 @@ BINS = 16
 #: are scaled to this length, so a large vocabulary by itself moves no score.
 SCALE = 200.0
 NORM = 10.0
-#: Features whose presence tells no pair of neighbouring grades apart by so many
-#: standard deviations have no weight (of 262,144 some 16 do so by chance).
-SCREEN = 4.0
+#: Features whose presence tells no grades apart by so many standard deviations
+#: have no weight: the more weak evidence counts, the lower.
+SCREEN = 3.0
 #: Ridge on the weights, against a mean log-likelihood.
 L2 = 1e-4
 #: Labelled documents per grade that the model is fitted on, at most.
@@ -127,16 +127,17 @@ class Sample:
         own = places[self.at]
         self.at, self.value, self.row = self.at[own], self.value[own], self.row[own]
 
-    def telling(self, top: int) -> np.ndarray:
-        """Places whose presence tells a pair of neighbouring grades apart, and the bins."""
+    def telling(self, top: int, screen: float) -> np.ndarray:
+        """Places whose presence tells neighbouring grades, or those above from those below, apart; and the bins."""
         tells = np.zeros(WIDTH, bool)
+        size = np.bincount(self.grades, minlength=top + 1)
+        seen = np.array([np.bincount(self.at[self.grades[self.row] == g], minlength=WIDTH) for g in range(top + 1)])
         for k in range(1, top + 1):
-            above = (self.grades >= k)[self.row]
-            n = max(1, int((self.grades >= k).sum())), max(1, int((self.grades < k).sum()))
-            a, b = np.bincount(self.at[above], minlength=WIDTH), np.bincount(self.at[~above], minlength=WIDTH)
-            both = (a + b) / (n[0] + n[1])
-            spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
-            tells |= (np.abs(a / n[0] - b / n[1]) >= SCREEN * spread) & (a + b >= 4)
+            for low, high in ((slice(0, k), slice(k, None)), (slice(k - 1, k), slice(k, k + 1))):
+                a, b, n, m = seen[low].sum(axis=0), seen[high].sum(axis=0), max(1, size[low].sum()), max(1, size[high].sum())
+                both = (a + b) / (n + m)
+                spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n + 1 / m))
+                tells |= (np.abs(a / n - b / m) >= screen * spread) & (a + b >= 4)
         tells[: BINS * 8] = True
         return tells
 
@@ -209,8 +210,8 @@ def minimise(f, p: np.ndarray, steps: int = 300, tolerance: float = 1e-5, memory
 class Ordinal:
     """Shared weights and ordered thresholds."""
 
-    def __init__(self, prefixes: tuple[int, ...] = (), pairs: bool = False, l2: float = L2) -> None:
-        self.prefixes, self.pairs, self.l2 = prefixes, pairs, l2
+    def __init__(self, prefixes: tuple[int, ...] = (), pairs: bool = False, l2: float = L2, screen: float = SCREEN) -> None:
+        self.prefixes, self.pairs, self.l2, self.screen = prefixes, pairs, l2, screen
         self.w = np.zeros(WIDTH)
         self.theta = np.zeros(0)
 
@@ -221,7 +222,7 @@ class Ordinal:
         if not top:
             return self
         sample = Sample(rows, grades, np.ones(len(grades)) if weight is None else np.asarray(weight, float))
-        places = np.flatnonzero(sample.telling(top))
+        places = np.flatnonzero(sample.telling(top, self.screen))
         own = np.zeros(WIDTH, bool)
         own[places] = True
         sample.only(own)

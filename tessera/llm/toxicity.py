@@ -26,6 +26,8 @@ from tessera.llm import ordinal
 PREFIXES = (4, 6)
 GRADES = 3
 FOLDS = 5
+#: Toxic words are few and telling; words that merely go with them in a small sample stay out.
+SCREEN = 4.0
 DECISION = 0.5
 #: Labelled documents per class that the model is fitted on, at most.
 TRAIN_PER_CLASS = 3_000
@@ -60,7 +62,7 @@ def severity(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> ordinal.Ordinal:
     texts, toxic, weights = ordinal.sample(docs, labels, F.when(F.col("toxic") > 0, 1).when(F.col("toxic") == 0, 0), per_class)
-    model = ordinal.Ordinal(PREFIXES)
+    model = ordinal.Ordinal(PREFIXES, screen=SCREEN)
     rows = [ordinal.features(t, PREFIXES) for t in texts]
     return model.fit(rows, severity(rows, toxic), weights) if len(np.unique(toxic)) == 2 else model
 
