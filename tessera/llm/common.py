@@ -15,6 +15,8 @@ _name = ctypes.util.find_library("c")
 _LIBC = ctypes.CDLL(_name) if _name and hasattr(ctypes.CDLL(_name), "malloc_trim") else None
 #: A side is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
+#: Characters of whole texts that a worker takes from a batch at once.
+SLICE = 2_000_000
 #: Texts go through the word splitter in pieces of about this many bytes.
 PIECE = 1 << 20
 
@@ -26,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors see.
 
-    Where the setting is absent (single-machine tests) a local folder is set.
+    On a single machine (tests) a local folder is set where the setting is
+    absent; on a cluster that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not root and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -48,17 +53,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def hash_sample(docs: DataFrame, n: int, *columns: str) -> list:
-    """At most n rows, those with the least hashes of doc_id; ties go by the columns.
-
-    The hashes are cut first, so no text of the other rows leaves its scan.
-    """
-    h = F.xxhash64("doc_id")
-    cut = docs.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    if cut is None:
-        return []
-    rows = docs.where(h <= cut).select(h.alias("_h"), *columns).collect()
-    return sorted(rows, key=lambda r: [(x is not None, x) for x in r])[:n]
+def slices(texts: list, chars: int = SLICE):
+    """Positions (from, to) that cut a list of texts, each whole, at about so many characters."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "") + 1
+        if size >= chars:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def release() -> None:

@@ -76,6 +76,16 @@ LEFT_OUT = [
 ]
 
 
+LEFT_OUT += [
+    ("GNU  General Public License, version 3", "GPL-3.0-only"),
+    ("GNU\n    General Public License version 2", "GPL-2.0-only"),
+    ("# Mozilla\n# Public License, version 2.0", "MPL-2.0"),
+    ("/*\n * Licensed under the Apache\n * License, Version 2.0\n */", "Apache-2.0"),
+    ("// Permission is hereby\n// granted, free of charge, to any person obtaining a copy of this software", "MIT"),
+    ("-- Licensed under the\n--   Apache License, Version 2.0", "Apache-2.0"),
+]
+
+
 @pytest.mark.parametrize("text,want", LEFT_OUT)
 def test_every_alternative_passes_the_gate(text, want):
     own = lc.scanner()
@@ -115,3 +125,35 @@ def test_gate_against_texts_written_from_every_rule():
             assert n in own.candidates(text) or not rule.pattern.search(text), (rule.name, text)
             if i == n % 40:
                 assert own.scan(text) == lc.resolve(own.detections(text, every), own.rules)
+
+
+def test_places_are_those_of_the_whole_text():
+    own = lc.scanner()
+    text = "a  b\n\n# c\n/*\n * Licensed under the\n *   Apache License,\n * Version 2.0 for   you\n */ MIT\tLicense"
+    assert [text[a:b] for a, b, _ in own.scan(text)] == ["Licensed under the\n *   Apache License,\n * Version 2.0", "MIT\tLicense"]
+
+
+def test_resolve_against_comparing_all_pairs():
+    def plain(found, ordered):
+        kept = []
+        for a, b, n in sorted(found, key=lambda d: (ordered[d[2]].priority, d[0] - d[1], d[2], d[0])):
+            if not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, n))
+        return sorted(kept)
+
+    rng = random.Random(1)
+    ordered = [Rule(f"r{i}", "L", i % 3, ("a",), "a") for i in range(9)]
+    for _ in range(300):
+        found = [(a, a + rng.randint(1, 12), rng.randrange(9)) for a in (rng.randrange(30) for _ in range(rng.randrange(25)))]
+        assert lc.resolve(found, ordered) == plain(found, ordered)
+
+
+def test_half_a_million_hits_take_seconds():
+    import time
+
+    own = lc.scanner()
+    found = [(i * 40, i * 40 + 30 + i % 7, i % len(own.rules)) for i in range(500_000)]
+    began = time.time()
+    assert len(lc.resolve(found, own.rules)) == 500_000 and time.time() - began < 60
+    text = "Licensed under the Apache License, Version 2.0.\n" * 20_000
+    assert len(own.scan(text)) == 20_000
