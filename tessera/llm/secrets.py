@@ -16,8 +16,8 @@ findings a bounded choice of words, reach the driver.
 
 Cases: null and empty texts have no findings; a null ``doc_id`` is kept as
 null; rows that repeat a document give equal findings; of overlapping
-candidates a known shape stays, else the longer, of equal ones the first; an empty table gives an
-empty result; other columns are ignored by ``scan`` and kept by ``redact``.
+candidates a known shape stays, else the longer, of equal ones the first; very long texts are scanned
+whole, in time that grows with their length; an empty table gives an empty result; other columns are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, shared_dir, written
+from tessera.llm.common import release, shared_dir, slices, written
 from tessera.llm.forest import Forest
 
 #: Words that the generated findings are made of, at most; they are a sample, chosen by hash.
@@ -174,11 +174,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     rank = {"assigned": 1, "token": 2}
     found.sort(key=lambda c: (rank.get(c[2], 0) > 0, c[0] - c[1], rank.get(c[2], 0), c[0]))
     kept: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))  # a mark for each place of a kept candidate
     for a, b, kind in found:
-        if not any(a < y and x < b for x, y in taken):
+        if taken.find(1, a, b) < 0:
             kept.append((a, b, kind))
-            taken.append((a, b))
+            taken[a:b] = b"\1" * (b - a)
     return sorted(kept)
 
 
@@ -360,10 +360,12 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
-            out = [(d, a, b, kind, score, _mask(t[a:b])) for d, t, found in zip(ids, texts, scanner.scan(texts)) for a, b, kind, score in found]
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "end", "kind", "score", "masked"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            for i, j in slices(texts):
+                out = [(d, a, b, kind, score, _mask(t[a:b])) for d, t, found in zip(ids[i:j], texts[i:j], scanner.scan(texts[i:j])) for a, b, kind, score in found]
+                frame = pd.DataFrame(out, columns=["doc_id", "start", "end", "kind", "score", "masked"])
+                frame["doc_id"] = frame["doc_id"].astype("Int64")
+                yield frame
+            release()
 
     return docs.select("doc_id", "text").mapInPandas(run, OUT)
 
@@ -374,11 +376,15 @@ def redact(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(text, scanner.scan(text.tolist())):
-            for a, b, kind, _ in reversed(found):
-                t = f"{t[:a]}[{kind}]{t[b:]}"
-            out.append(t)
+        texts, out = text.tolist(), []
+        for i, j in slices(texts):
+            for t, found in zip(texts[i:j], scanner.scan(texts[i:j])):
+                parts, at = [], 0
+                for a, b, kind, _ in found:
+                    parts += [t[at:a], f"[{kind}]"]
+                    at = b
+                out.append("".join([*parts, t[at:]]) if parts else t)
+        release()
         return pd.Series(out, index=text.index, dtype=object)
 
     done = docs.withColumn("text", cleaned("text"))

@@ -102,3 +102,12 @@ def test_dictionary_counts_every_document(spark):
     assert got.log == pytest.approx(want.log)
     assert got.pieces == {p for p in want.pieces if p.isascii()} and "fjor" in got.pieces
     assert got.coverage("fjordwanderung") == 1
+
+
+def test_many_candidates_take_seconds_and_never_overlap():
+    import time
+
+    began = time.time()
+    found = sc.candidates(" x = token: abcdefghij0123456789abcdefgh" * 100_000)
+    assert len(found) == 100_000 and time.time() - began < 60
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
