@@ -4,14 +4,19 @@ Documents whose word 3-shingle sets have Jaccard similarity of at least
 ``THRESHOLD`` are linked; a group is a connected component of those links, and
 its least ``doc_id`` stays.
 
-1. One pass makes a content hash, 128 MinHashes (kept as 8-bit values) and 25
-   band keys of 5 MinHashes per document.  Equal contents collapse first.
+1. One pass makes a content hash, 128 MinHashes (kept as 8-bit values) and 28
+   band keys of 4 MinHashes per document.  Equal contents collapse first.
 2. Documents that share a band key are candidates.  Inside a bucket the 8-bit
    signatures are compared 32 at a time; a pair is dropped as soon as the
    posterior probability that its similarity reaches the threshold falls below
    ``MISS``.  Pairs that earlier surviving pairs of the bucket already connect
-   are skipped: they can't change a component.
-3. Every survivor is verified on the exact shingle sets of whole texts.
+   are skipped: they can't change a component.  A bucket of more than ``HOT``
+   documents is cut into groups, each a task of its own; pairs of different
+   groups are compared in the first of the rounds of step 4, a task for each
+   pair of groups.
+3. Every survivor is verified on the exact shingle sets of whole texts.  Only
+   texts of candidates are shuffled; those that pair with the same document come
+   to it, ``HUB`` at a time, so its shingles are made once for all of them.
 4. Buckets in which a survivor failed are compared again from the verified
    components, without the failed pairs, until no bucket yields a new pair; so
    what step 2 skipped is never lost.  These rounds skip only what verified
@@ -21,7 +26,8 @@ its least ``doc_id`` stays.
 Cases: null ``doc_id`` rows take no part and stay; null, empty and blank texts
 have no shingles and are never duplicates; texts under three words are one
 shingle; rows that repeat a ``doc_id`` are one document, linked through each
-of its texts; an empty table gives an empty result; other columns are ignored.
+of its texts; of a group the least ``doc_id`` stays, so ties don't arise; very
+long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +37,10 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, release, shared_dir, small, words, written
+from tessera.llm.common import BROADCAST_ROWS, mix64, release, shared_dir, slices, small, words, written
 from tessera.llm.components import connected_components
 
 THRESHOLD = 0.6
@@ -45,6 +50,12 @@ BANDS, ROWS = 28, 4
 MISS = 0.005
 #: Buckets up to this size are compared pair by pair in one vector operation.
 DENSE = 64
+#: Documents of a bucket that one task compares, at most.
+HOT = 20_000
+#: Documents verified against one and the same document in a task, at most.
+HUB = 2_000
+#: Bits of the filter that keeps texts of no candidate out of the shuffle, at most (8 MB).
+FILTER_BITS = 1 << 26
 #: In ``other``: the row is a member of its bucket, not a failed pair.
 _MEMBER = -(2**63)
 
@@ -79,28 +90,35 @@ def minhash(sh: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     for batch in batches:
-        hashed, counts = words(batch["text"].tolist())
-        stop = np.cumsum(counts)
-        ids, content, bands, sigs = [], [], [], []
-        for doc, i, j in zip(batch["doc_id"], (stop - counts).tolist(), stop.tolist()):
-            if i == j:
-                continue
-            low = minhash(shingles(hashed[i:j]))
-            ids.append(doc)
-            content.append(xxhash.xxh3_128_digest(hashed[i:j].tobytes()))
-            bands.append(low)
-        if not ids:
-            continue
-        low = np.array(bands, np.uint64)
-        sigs = [x.tobytes() for x in (mix64(low) & np.uint64(255)).astype(np.uint8)]
-        low = low[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS)
-        key = np.broadcast_to(_BAND, (len(ids), BANDS)).copy()
-        for r in range(ROWS):
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
-        yield pd.DataFrame({"doc_id": ids, "content": content, "sig": sigs, "bands": list(key.view(np.int64))})
+        every, texts = batch["doc_id"].to_numpy(np.int64), batch["text"].tolist()
+        for a, b in slices(texts):
+            found = _signed(every[a:b], texts[a:b])
+            if len(found):
+                yield found
         release()
 
 
+def _signed(docs: np.ndarray, texts: list[str]) -> pd.DataFrame:
+    hashed, counts = words(texts)
+    stop = np.cumsum(counts)
+    ids, content, lows = [], [], []
+    for doc, i, j in zip(docs.tolist(), (stop - counts).tolist(), stop.tolist()):
+        if i == j:
+            continue
+        ids.append(doc)
+        content.append(xxhash.xxh3_128_digest(hashed[i:j].tobytes()))
+        lows.append(minhash(shingles(hashed[i:j])))
+    if not ids:
+        return pd.DataFrame()
+    low = np.array(lows, np.uint64)
+    sigs = [x.tobytes() for x in (mix64(low) & np.uint64(255)).astype(np.uint8)]
+    low = low[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS)
+    key = np.broadcast_to(_BAND, (len(ids), BANDS)).copy()
+    for r in range(ROWS):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
+    return pd.DataFrame({"doc_id": ids, "content": content, "sig": sigs, "bands": list(key.view(np.int64))})
+
+
 def least_matches(threshold: float = THRESHOLD, miss: float = MISS) -> list[int]:
     """Matches that a pair needs after each batch to stay.
 
@@ -227,9 +245,11 @@ def _buckets(need: list[int], again: int):
                 members = g[g["other"] == _MEMBER].sort_values("doc_id")
                 doc = members["doc_id"].to_numpy(np.int64)
                 sig = np.frombuffer(b"".join(members["sig"]), np.uint8).reshape(-1, HASHES)
-                at = {d: n for n, d in enumerate(doc.tolist())}
+                at: dict[int, list[int]] = {}  # a document may be here with several texts
+                for n, d in enumerate(doc.tolist()):
+                    at.setdefault(d, []).append(n)
                 bad = g[g["other"] != _MEMBER]
-                refused = {(at[a], at[b]) for a, b in zip(bad["doc_id"].tolist(), bad["other"].tolist())}
+                refused = {(i, j) for a, b in zip(bad["doc_id"].tolist(), bad["other"].tolist()) for i in at.get(a, ()) for j in at.get(b, ())}
                 found = spanning(sig, need, members["label"].to_numpy(np.int64), refused, again)
                 out += [(key, min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in found]
             return pd.DataFrame(out, columns=["key", "a", "b"]).astype("int64")
@@ -245,6 +265,7 @@ def _buckets(need: list[int], again: int):
             i += [int(s) + x for x, _ in part]
             j += [int(s) + y for _, y in part]
         i, j = np.array(i, np.int64), np.array(j, np.int64)
+        i, j = i[doc[i] != doc[j]], j[doc[i] != doc[j]]
         return pd.DataFrame({"key": key[i], "a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j])})
 
     def run(batches):
@@ -267,25 +288,66 @@ def _buckets(need: list[int], again: int):
     return run
 
 
-def _exact(threshold: float):
-    """(a, b, text_a, text_b) -> (a, b, jaccard) on whole texts."""
-
-    def run(batches):
-        last, set_a = None, None
-        for batch in batches:
-            texts = batch["text_b"].tolist()
-            hashed, counts = words(texts)
+def _exact(batches):
+    """Rows sorted by (a, salt, b), those of a itself (b null) first -> (a, b, jaccard)."""
+    last, own = None, []
+    for batch in batches:
+        texts = batch["text"].tolist()
+        hub, other = list(zip(batch["a"], batch["salt"])), batch["b"].astype("Int64")
+        for i, j in slices(texts):
+            hashed, counts = words(texts[i:j])
             stop = np.cumsum(counts)
             found = []
-            for text_a, i, j in zip(batch["text_a"], (stop - counts).tolist(), stop.tolist()):
-                if text_a != last:
-                    last, set_a = text_a, shingles(words([text_a])[0])
-                set_b = shingles(hashed[i:j])
-                both = len(np.intersect1d(set_a, set_b, assume_unique=True))
-                found.append(both / max(1, len(set_a) + len(set_b) - both))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "jaccard": np.array(found, float)})
+            for at, b, x, y in zip(hub[i:j], other.iloc[i:j], (stop - counts).tolist(), stop.tolist()):
+                if at != last:
+                    last, own = at, []
+                here = shingles(hashed[x:y])
+                if b is pd.NA:
+                    own.append(here)
+                    continue
+                best = 0.0
+                for set_a in own:
+                    both = len(np.intersect1d(set_a, here, assume_unique=True))
+                    best = max(best, both / max(1, len(set_a) + len(here) - both))
+                found.append((at[0], b, best))
+            yield pd.DataFrame(found, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
+        release()
 
-    return run
+
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """texts of ``ids`` (distinct); a bit filter keeps most of the others out of the join's shuffle."""
+    n = ids.count()
+    if n <= BROADCAST_ROWS:
+        return texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    bits = min(FILTER_BITS, 1 << (16 * n).bit_length())
+    if n > bits // 2:
+        return texts.join(ids, "doc_id", "left_semi")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    parts = ids.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    held = bytearray(bits // 8)
+    for row in parts.toLocalIterator():
+        held[(row.n - 1) * 4096 : row.n * 4096] = row.bits
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(held)), F.floor((at - 1) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.call_function("getbit", byte, ((at - 1) % 8).cast("int")) == 1
+    return texts.where(maybe).join(ids, "doc_id", "left_semi")
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of distinct pairs on whole texts; of several texts of a document the best counts."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    held = _among(texts, ids)
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("salts"))
+    salted = pairs.join(hubs, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
+    others = salted.select(F.col("b").alias("doc_id"), "a", "salt").join(held, "doc_id").select("a", "salt", F.col("doc_id").alias("b"), "text")
+    own = hubs.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(held, "doc_id")
+    own = own.select(F.col("doc_id").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "text")
+    rows = others.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInPandas(_exact, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _cell(*groups) -> Column:
+    """Bucket of one group (twice) or of two groups of a hot key."""
+    return F.when(F.col("groups") == 1, F.col("key")).otherwise(F.xxhash64("key", *groups))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -295,48 +357,51 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     need = least_matches(threshold, miss)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
 
-    signed = texts.mapInPandas(_signatures, "doc_id long, content binary, sig binary, bands array<long>")
-    signed = written(signed.withColumn("rep", F.min("doc_id").over(W.partitionBy("content"))), f"{folder}/signed")
-    reps = signed.where("doc_id = rep")
-
-    keyed = reps.select("doc_id", F.explode("bands").alias("key")).distinct()
-    shared = keyed.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n")
-    sigs = reps.select("doc_id", "sig").dropDuplicates(["doc_id"])
-    members = written(shared.join(sigs, "doc_id"), f"{folder}/members")
+    signed = written(texts.mapInPandas(_signatures, "doc_id long, content binary, sig binary, bands array<long>"), f"{folder}/signed")
+    firsts = signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    firsts = written(firsts, f"{folder}/firsts")
+    reps = signed.join(firsts.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi")
+
+    keyed = reps.select("doc_id", "content", F.explode("bands").alias("key")).distinct()
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("groups"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = keyed.join(sizes, "key").withColumn("g", F.pmod(F.xxhash64("doc_id", "key"), "groups").cast("int"))
+    sigs = reps.select("doc_id", "content", "sig").dropDuplicates(["doc_id", "content"])
+    cells = written(shared.join(sigs, ["doc_id", "content"]).select("key", "groups", "g", "doc_id", "sig"), f"{folder}/cells")
+    # the first pass compares inside groups, later ones also across them
+    members = cells.select(_cell("g", "g").alias("key"), "doc_id", "sig")
+    hot = not cells.where("groups > 1").isEmpty()
+    across = members
+    if hot:
+        pairs = cells.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        across = pairs.select(_cell(F.least("g", "h"), F.greatest("g", "h")).alias("key"), "groups", "doc_id", "sig")
 
     pairs_schema = "key long, a long, b long"
     edges = (
         members.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id").mapInPandas(_buckets(need, 0), pairs_schema)
     )
     links, turn, tried = None, 0, None
-    exact_links = signed.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    copies = signed.select("doc_id", "content").join(firsts.where("n > 1").select("content", "rep"), "content").where("doc_id != rep")
+    exact_links = written(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), f"{folder}/copies")
     while True:
         edges = written(edges, f"{folder}/edges{turn}")
         fresh = edges.select("a", "b").distinct()
         if turn and fresh.isEmpty():
             break
-        ids = fresh.select(F.col("a").alias("doc_id")).unionByName(fresh.select(F.col("b").alias("doc_id"))).distinct()
-        held = texts.join(ids, "doc_id", "left_semi")
-        checked = (
-            fresh.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b")
-            .mapInPandas(_exact(threshold), "a long, b long, jaccard double")
-            .groupBy("a", "b")
-            .agg(F.max("jaccard").alias("jaccard"))
-        )
+        checked = verified(texts, written(fresh, f"{folder}/fresh{turn}"))
         checked = written(checked, f"{folder}/checked{turn}")
         good = checked.where(F.col("jaccard") >= threshold).select("a", "b")
         links = good if links is None else links.unionByName(good)
         bad = edges.join(checked.where(F.col("jaccard") < threshold).select("a", "b"), ["a", "b"], "left_semi")
         tried = bad if tried is None else tried.unionByName(bad)
-        if bad.isEmpty():
+        if bad.isEmpty() and not (hot and turn == 0):
             break
         # only buckets in which a survivor failed may hold pairs that were wrongly skipped
         known = connected_components(links.unionByName(exact_links), "a", "b")
         open_keys = bad.select("key").distinct()
+        if hot and turn == 0:  # every pair of groups of a hot bucket
+            open_keys = open_keys.unionByName(across.where("groups > 1").select("key")).distinct()
         rows = (
-            members.join(open_keys, "key", "left_semi")
+            across.join(open_keys, "key", "left_semi")
             .join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("key", "doc_id", "sig", F.coalesce("component", "doc_id").alias("label"), F.lit(_MEMBER).alias("other"))
         )

@@ -86,6 +86,25 @@ def test_verification_loop_recovers_pairs_skipped_behind_a_failed_one(spark, mon
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_one_result_whatever_the_way_through_a_bucket(spark, monkeypatch):
+    """Small and large buckets, split ones, split hubs and the bit filter: the same groups."""
+    rows = corpus(seed=11, bases=6, copies=14, words=80)
+    want = {tuple(r) for r in nd.near_duplicates(frame(spark, rows)).collect()}
+    assert want and want <= brute(rows)
+    for settings in ({"DENSE": 2}, {"HOT": 3}, {"HUB": 2}, {"BROADCAST_ROWS": 0}):
+        for name, value in settings.items():
+            monkeypatch.setattr(nd, name, value)
+        assert {tuple(r) for r in nd.near_duplicates(frame(spark, rows)).collect()} == want, settings
+        monkeypatch.undo()
+
+
+def test_document_with_two_texts_is_linked_through_both(spark):
+    rng = np.random.default_rng(8)
+    one, two = ([f"w{i}" for i in rng.integers(0, 4000, 90)] for _ in range(2))
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (9, " ".join([*one[:88], "x", "y"])), (7, " ".join([*two[:88], "x", "y"])), (6, "something else altogether here")]
+    assert {tuple(r) for r in nd.near_duplicates(frame(spark, rows)).collect()} == {(9, 5), (7, 5)}
+
+
 def test_edge_cases(spark):
     long = " ".join(f"t{i % 977}x{i}" for i in range(300_000))
     rows = [(5, "a b"), (3, "A, b!"), (None, "a b"), (7, None), (8, ""), (9, " \n"), (8, ""), (5, "a b"), (11, long), (10, long)]
