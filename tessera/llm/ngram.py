@@ -1,10 +1,12 @@
 """Operator 9: language-model scores from an Elias-Fano n-gram trie.
 
-All words of all documents are counted into an interpolated Kneser-Ney model of
-order 3.  Words that occur once are the unknown word; trigrams that occur once
-give their mass to the shorter context.  The model is a set of shards in the
-shared folder, one per hash of a trigram's middle word; a very frequent middle
-word is split further by the first word, so no shard grows with one word.
+All words and trigrams of all documents are counted into an interpolated
+Kneser-Ney model of order 3; nothing is pruned by default (``min_word`` and
+``min_trigram`` of ``train`` fold rare ones into the unknown word or the shorter
+context).  The model is a set of shards in the shared folder, one per hash of a
+trigram's middle word; their number grows with the text.  A very frequent middle
+word, and the mark before a text, is split further by the first word, so no
+shard grows with one word.
 
 A shard is a trie in three memory-mapped levels.  Level 2 has the successors of
 each middle word, level 3a the contexts (middle, first), level 3b the words
@@ -20,7 +22,7 @@ up in the mapped shards.  The folder must be a mounted path (file: or plain).
 
 Cases: null, empty and wordless texts have 0 words and null scores; a null
 doc_id is kept as null; rows that repeat a document count and are scored each;
-an empty table gives an empty result; other columns are ignored.
+very long texts are counted and scored whole; equal texts get equal scores; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +38,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, ragged, shared_dir, words, written
+from tessera.llm.common import mix64, ragged, release, shared_dir, words, written
 from tessera.llm.eliasfano import EliasFano, encode
 
-VOCAB_SHARDS = 64
+#: Characters of text per vocabulary shard.
+SHARD_CHARS = 16_000_000
 #: Words of text per trie shard, and occurrences after which a middle word is split.
 SHARD_TOKENS = 1_500_000
 SPLIT = 1_000_000
-MIN_WORD, MIN_TRIGRAM = 2, 2
+#: Occurrences from which a word, a trigram is kept.
+MIN_WORD, MIN_TRIGRAM = 1, 1
 DISCOUNT = 0.75
 #: Words looked up at once.
 STEP = 500_000
@@ -118,13 +122,22 @@ def _pieces(texts: list[str]):
         yield held
 
 
-def _count_words(batches):
-    for batch in batches:
-        for part in _pieces(batch["text"].tolist()):
-            found, n = np.unique(words(part)[0], return_counts=True)
-            cut = np.searchsorted(found, np.arange(1, VOCAB_SHARDS, dtype=np.uint64) << np.uint64(64 - VOCAB_SHARDS.bit_length() + 1))
-            rows = [(s, len(h), _pack(h, c.astype(np.uint32))) for s, (h, c) in enumerate(zip(np.split(found, cut), np.split(n, cut))) if len(h)]
-            yield pd.DataFrame(rows, columns=["shard", "n", "blob"])
+def _edges(shards: int) -> np.ndarray:
+    """Hashes at which the vocabulary shards (a power of two) after the first begin."""
+    return np.arange(1, shards, dtype=np.uint64) << np.uint64(65 - shards.bit_length())
+
+
+def _count_words(shards: int):
+    def run(batches):
+        for batch in batches:
+            for part in _pieces(batch["text"].tolist()):
+                found, n = np.unique(words(part)[0], return_counts=True)
+                cut = np.searchsorted(found, _edges(shards))
+                rows = [(s, len(h), _pack(h, c.astype(np.uint32))) for s, (h, c) in enumerate(zip(np.split(found, cut), np.split(n, cut))) if len(h)]
+                yield pd.DataFrame(rows, columns=["shard", "n", "blob"])
+            release()
+
+    return run
 
 
 def _unpack(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
@@ -143,12 +156,12 @@ def _sum_sorted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _build_vocab(folder: str):
+def _build_vocab(folder: str, min_word: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
         parts = [_unpack(b, n, np.uint64, np.uint32) for b, n in zip(group["blob"], group["n"])]
         keys, n = _sum_sorted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
-        keep = n >= MIN_WORD
+        keep = n >= min_word
         _save(f"{folder}/vocab{shard:04d}", {"hash": keys[keep], "count": n[keep]})
         return pd.DataFrame({"shard": [shard], "kept": [int(keep.sum())], "tokens": [int(n.sum())]})
 
@@ -168,7 +181,7 @@ class Vocabulary:
         """(id, count) of every hash."""
         found, back = np.unique(hashes, return_inverse=True)
         out, count = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-        edge = np.searchsorted(found, np.arange(1, VOCAB_SHARDS, dtype=np.uint64) << np.uint64(64 - VOCAB_SHARDS.bit_length() + 1))
+        edge = np.searchsorted(found, _edges(len(self.parts)))
         edge = np.r_[0, edge, len(found)]
         for s, part in enumerate(self.parts):
             own = found[edge[s] : edge[s + 1]]
@@ -186,14 +199,13 @@ def _vocabulary(folder: str, sizes: tuple[int, ...]) -> Vocabulary:
     return Vocabulary(folder, sizes)
 
 
-def trigrams(vocabulary: Vocabulary, hashes: np.ndarray, counts: np.ndarray, unknown: int):
+def trigrams(vocabulary: Vocabulary, hashes: np.ndarray, counts: np.ndarray, unknown: int, texts: int):
     """(w1, w2, w3, times w2 occurs) at every word; texts start with two start marks."""
     ids, n = vocabulary.ids(hashes)
     n = np.where(ids == 0, unknown, n)
     row, pos = ragged(counts)
     shift = lambda a, k, fill: np.where(pos >= k, np.r_[np.full(min(k, len(a)), fill), a[: max(0, len(a) - k)]], fill)
-    often = shift(n, 1, SPLIT)  # the start mark is split as if it were a frequent word
-    often = np.where(pos == 0, 64 * SPLIT, often)
+    often = np.where(pos == 0, texts, shift(n, 1, 0))  # the start mark occurs once before each text
     return shift(ids, 2, vocabulary.start), shift(ids, 1, vocabulary.start), ids, often
 
 
@@ -225,12 +237,12 @@ def _unique_rows(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndar
     return [c[first] for c in columns], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n
 
 
-def _count_trigrams(folder: str, sizes: tuple[int, ...], shards: int, unknown: int):
+def _count_trigrams(folder: str, sizes: tuple[int, ...], shards: int, unknown: int, texts: int):
     def run(batches):
         vocabulary = _vocabulary(folder, sizes)
         for batch in batches:
             for part in _pieces(batch["text"].tolist()):
-                w1, w2, w3, often = trigrams(vocabulary, *words(part), unknown)
+                w1, w2, w3, often = trigrams(vocabulary, *words(part), unknown, texts)
                 shard = shard_of(w1, w2, often, shards)
                 (shard, w2, w1, w3), n = _unique_rows([shard, w2, w1, w3], np.ones(len(w1), np.int64))
                 cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -242,6 +254,7 @@ def _count_trigrams(folder: str, sizes: tuple[int, ...], shards: int, unknown: i
                         step = np.diff(w2[own], prepend=0).astype(np.uint32)
                         rows.append((s, int(m), _pack(step, w1[own].astype(np.uint32), w3[own].astype(np.uint32), n[own].astype(np.uint32))))
                 yield pd.DataFrame(rows, columns=["shard", "n", "blob"])
+            release()
 
     return run
 
@@ -270,7 +283,7 @@ def _group_starts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
 
 
-def _build_trigrams(folder: str, size: int, middle_shards: int):
+def _build_trigrams(folder: str, size: int, middle_shards: int, min_trigram: int):
     """One shard: write its trie; give its bigram counts on to the bigram shards."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -295,7 +308,7 @@ def _build_trigrams(folder: str, size: int, middle_shards: int):
         of[ctx[1:]] = 1
         of = np.cumsum(of)
         total = np.add.reduceat(n, ctx)
-        keep = np.flatnonzero(n >= MIN_TRIGRAM)
+        keep = np.flatnonzero(n >= min_trigram)
         share = (n[keep] - DISCOUNT) / total[of[keep]]
         kept_ctx, where = np.unique(of[keep], return_inverse=True)
         left = 1 - np.bincount(where, weights=share, minlength=len(kept_ctx))
@@ -359,9 +372,9 @@ def _build_bigrams(folder: str, size: int):
 class Model:
     """The mapped shards, opened when first needed."""
 
-    def __init__(self, folder: str, sizes: tuple[int, ...], shards: int, middle: int, unknown: int, kinds: int) -> None:
-        self.args = (folder, sizes, shards, middle, unknown, kinds)
-        self.folder, self.sizes, self.shards, self.middle, self.unknown, self.kinds = self.args
+    def __init__(self, folder: str, sizes: tuple[int, ...], shards: int, middle: int, unknown: int, texts: int, kinds: int) -> None:
+        self.args = (folder, sizes, shards, middle, unknown, texts, kinds)
+        self.folder, self.sizes, self.shards, self.middle, self.unknown, self.texts, self.kinds = self.args
         self.open: dict[str, tuple] = {}
 
     def __reduce__(self):
@@ -378,7 +391,7 @@ class Model:
         """p of every word given the two before it in its text."""
         vocabulary = _vocabulary(self.folder, self.sizes)
         size = vocabulary.size
-        w1, w2, w3, often = trigrams(vocabulary, hashes, counts, self.unknown)
+        w1, w2, w3, often = trigrams(vocabulary, hashes, counts, self.unknown, self.texts)
         # in the order of the shards' keys: look-ups walk the arrays forward, and each is made once
         (w2, w1, w3), back, often = _distinct([w2, w1, w3], often)
         unigram = np.load(f"{self.folder}/unigram.npy", mmap_mode="r")
@@ -422,25 +435,27 @@ class Model:
             yield order[a:b]
 
 
-def train(docs: DataFrame, folder: str | None = None) -> Model | None:
+def train(docs: DataFrame, folder: str | None = None, min_word: int = MIN_WORD, min_trigram: int = MIN_TRIGRAM) -> Model | None:
     """Count all documents and write the trie; None if there are no words."""
     uri = folder or shared_dir(docs.sparkSession)
     folder = _path(uri)
     os.makedirs(folder, exist_ok=True)
     texts = docs.select("text").where("text is not null")
+    n_texts, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
+    vocab = 1 << max(4, ((chars or 0) // SHARD_CHARS).bit_length())
     blob = "shard long, n long, blob binary"
-    stats = texts.mapInPandas(_count_words, blob).groupBy("shard").applyInPandas(_build_vocab(folder), "shard long, kept long, tokens long")
+    stats = texts.mapInPandas(_count_words(vocab), blob).groupBy("shard").applyInPandas(_build_vocab(folder, min_word), "shard long, kept long, tokens long")
     rows = written(stats, f"{uri}/vocabulary").collect()  # a row per vocabulary shard
     if not rows:
         return None
     kept = {r.shard: r.kept for r in rows}
-    sizes = tuple(kept.get(s, 0) for s in range(VOCAB_SHARDS))
+    sizes = tuple(kept.get(s, 0) for s in range(vocab))
     size, tokens = sum(sizes) + 2, sum(r.tokens for r in rows)
     unknown = max(1, tokens // 50)
     shards = max(1, -(-tokens // SHARD_TOKENS))
     middle = max(1, -(-shards // 4))
-    found = texts.mapInPandas(_count_trigrams(folder, sizes, shards, unknown), blob)
-    pairs = found.groupBy("shard").applyInPandas(_build_trigrams(folder, size, middle), f"{blob}, bytes long")
+    found = texts.mapInPandas(_count_trigrams(folder, sizes, shards, unknown, n_texts), blob)
+    pairs = found.groupBy("shard").applyInPandas(_build_trigrams(folder, size, middle, min_trigram), f"{blob}, bytes long")
     ends = pairs.groupBy("shard").applyInPandas(_build_bigrams(folder, size), "word long, n long")
     per_word = ends.groupBy("word").agg(F.sum("n").alias("n"))
     per_word = written(per_word, f"{uri}/continuations")
@@ -460,14 +475,14 @@ def train(docs: DataFrame, folder: str | None = None) -> Model | None:
         out.flush()
 
     per_word.mapInPandas(fill, "done long").agg(F.sum("done")).collect()
-    return Model(folder, sizes, shards, middle, unknown, int(kinds))
+    return Model(folder, sizes, shards, middle, unknown, n_texts, int(kinds))
 
 
-OUT = "doc_id long, n_words long, log10_prob double, perplexity double"
+OUT = "doc_id long, n_words long, log10_prob_per_word double, perplexity double, log10_prob double"
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, n_words, log10_prob, perplexity) for every row of docs."""
+    """(doc_id, n_words, log10_prob_per_word, perplexity, log10_prob) for every row of docs."""
     model = model or train(docs)
 
     def run(batches):
@@ -487,13 +502,16 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
                         total[at:to] = np.bincount(np.repeat(np.arange(len(own)), own), weights=logs, minlength=len(own))
                     at = to
             none = counts == 0
+            mean = total / np.maximum(counts, 1)
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].astype("Int64"),
                     "n_words": counts,
+                    "log10_prob_per_word": pd.Series(mean).mask(none).astype("Float64"),
+                    "perplexity": pd.Series(10.0 ** np.minimum(-mean, 300)).mask(none).astype("Float64"),
                     "log10_prob": pd.Series(total).mask(none).astype("Float64"),
-                    "perplexity": pd.Series(10.0 ** np.minimum(-total / np.maximum(counts, 1), 300)).mask(none).astype("Float64"),
                 }
             )
+            release()
 
     return docs.select("doc_id", "text").mapInPandas(run, OUT)

@@ -91,6 +91,7 @@ def test_agrees_with_dictionaries(spark, monkeypatch, shard_tokens):
         want = [np.log10(p(*w[k : k + 3])) for k in range(len(w) - 2)]
         assert got[i].n_words == len(want)
         assert got[i].log10_prob == pytest.approx(sum(want), abs=0.03 * len(want))
+        assert got[i].log10_prob_per_word == pytest.approx(got[i].log10_prob / len(want))
         assert got[i].perplexity == pytest.approx(10 ** (-got[i].log10_prob / len(want)))
 
 
@@ -113,7 +114,7 @@ def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " .,! "), (None, "one two one two"), (4, "one two"), (4, "one two"), (5, long)]
     docs = spark.createDataFrame([(i, t, 9, "w") for i, t in rows], SCHEMA)
     out = ngram.score(docs)
-    assert out.columns == ["doc_id", "n_words", "log10_prob", "perplexity"]
+    assert out.columns == ["doc_id", "n_words", "log10_prob_per_word", "perplexity", "log10_prob"]
     got = out.collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
@@ -121,3 +122,14 @@ def test_edge_cases(spark):
     assert by[None].n_words == 4 and by[5].n_words == 700_000 and by[5].perplexity < 1.2
     assert ngram.score(docs.where("false")).count() == 0
     assert {r.n_words for r in ngram.score(docs.where("doc_id < 4")).collect()} == {0}
+
+
+def test_pruning_is_a_choice(spark):
+    """A text seen twice keeps its trigrams when those seen once are folded; the text seen once loses."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, 80)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    whole = {r.doc_id: r.log10_prob_per_word for r in ngram.score(docs).collect()}
+    cut = {r.doc_id: r.log10_prob_per_word for r in ngram.score(docs, ngram.train(docs, min_word=2, min_trigram=2)).collect()}
+    assert whole[0] == whole[30] > max(whole[i] for i in range(1, 30))
+    assert all(cut[i] < whole[i] for i in range(1, 30))
