@@ -16,7 +16,8 @@ Cases: tokens are lower-cased words, punctuation ignored; null or empty texts
 and null ids on either side give no row; an item with fewer tokens than a mask
 spans is also sought as one run of all its tokens, and items without tokens
 never match; rows that repeat a (doc_id, item_id) pair give the best overlap
-once; empty tables give an empty result; other columns are ignored.
+once, of equally good ones that with the fewest tokens, then the first; very long
+texts are read whole; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, shared_dir, small, words, written
+from tessera.llm.common import mix64, release, shared_dir, slices, small, words, written
 
 MASKS = ("1110110101", "110010101011", "11011000101101")
 MIN_TOKENS = 12
@@ -123,28 +124,33 @@ OUT = "doc_id long, item_id long, doc_start long, item_start long, n_tokens long
 def _scan(block: Block):
     def run(batches):
         for batch in batches:
-            docs = batch["doc_id"].to_numpy(np.int64)
-            tokens, counts = words(batch["text"].tolist())
-            stop = np.cumsum(counts)
-            start = stop - counts
-            row = np.repeat(np.arange(len(docs)), counts)
-            pos, other = block.hits(tokens, row)
-            item = np.searchsorted(block.stop, other, "right")
-            diag = (pos - start[row[pos]]) - (other - block.start[item])
-            found = np.unique(np.stack([row[pos], item, diag, pos - start[row[pos]]], axis=1), axis=0)
-            out, done = [], (-1, -1, 0, -1)
-            for r, i, g, p in found.tolist():
-                if (r, i, g) == done[:3] and p < done[3]:
-                    continue  # inside a run that is already measured
-                a, b, n, same = block.overlap(tokens[start[r] : stop[r]], i, g, p)
-                done = (r, i, g, a + n)
-                if same >= block.need(i):
-                    out.append((docs[r], block.ids[i], a, b, n, same))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_matched"]).astype("int64")
+            every, texts = batch["doc_id"].to_numpy(np.int64), batch["text"].tolist()
+            yield from (_overlaps(block, every[i:j], texts[i:j]) for i, j in slices(texts))
+            release()
 
     return run
 
 
+def _overlaps(block: Block, docs: np.ndarray, texts: list[str]) -> pd.DataFrame:
+    tokens, counts = words(texts)
+    stop = np.cumsum(counts)
+    start = stop - counts
+    row = np.repeat(np.arange(len(docs)), counts)
+    pos, other = block.hits(tokens, row)
+    item = np.searchsorted(block.stop, other, "right")
+    diag = (pos - start[row[pos]]) - (other - block.start[item])
+    found = np.unique(np.stack([row[pos], item, diag, pos - start[row[pos]]], axis=1), axis=0)
+    out, done = [], (-1, -1, 0, -1)
+    for r, i, g, p in found.tolist():
+        if (r, i, g) == done[:3] and p < done[3]:
+            continue  # inside a run that is already measured
+        a, b, n, same = block.overlap(tokens[start[r] : stop[r]], i, g, p)
+        done = (r, i, g, a + n)
+        if same >= block.need(i):
+            out.append((docs[r], block.ids[i], a, b, n, same))
+    return pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_matched"]).astype("int64")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_tokens, n_matched): verified overlaps."""
     spark = docs.sparkSession

@@ -170,5 +170,9 @@ def copies(docs: DataFrame, weights: dict | None = None, seed: int = SEED, bucke
 def mix(docs: DataFrame, weights: dict | None = None, seed: int = SEED, **how) -> DataFrame:
     """The rows of docs that get a copy, with all their columns and ``copies``."""
     name = "copies" if "copies" not in docs.columns else "mix_copies"
-    drawn = copies(docs, weights, seed, **how).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("copies").alias(name))
-    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))).select(*docs.columns, name)
+    taken, mark = {c.lower() for c in docs.columns}, "_mix"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    drawn = copies(docs, weights, seed, **how).where("copies > 0").select(F.col("doc_id").alias(f"{mark}d"), F.col("source").alias(f"{mark}s"), F.col("copies").alias(name))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{mark}d")) & F.col("source").eqNullSafe(F.col(f"{mark}s"))
+    return docs.join(drawn, same).select(*docs.columns, name)
