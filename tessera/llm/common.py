@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ _name = ctypes.util.find_library("c")
 _LIBC = ctypes.CDLL(_name) if _name and hasattr(ctypes.CDLL(_name), "malloc_trim") else None
 #: A side is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
 #: Characters of whole texts that a worker takes from a batch at once.
 SLICE = 2_000_000
 #: Texts go through the word splitter in pieces of about this many bytes.
@@ -65,8 +68,21 @@ def slices(texts: list, chars: int = SLICE):
         yield at, len(texts)
 
 
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInPandas over rows that hold whole texts."""
+    narrow(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
+def narrow(spark: SparkSession) -> None:
+    """Whole texts go to Python ``BATCH_ROWS`` a batch where the session has Spark's default."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, release, shared_dir, slices, small, words, written
+from tessera.llm.common import in_batches, mix64, release, shared_dir, slices, small, words, written
 
 MASKS = ("1110110101", "110010101011", "11011000101101")
 MIN_TOKENS = 12
@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOC
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = sorted((r.item_id, r.text) for r in part.toLocalIterator())
-        one = texts.mapInPandas(_scan(Block([i for i, _ in rows], [t for _, t in rows])), OUT)
+        one = in_batches(texts, _scan(Block([i for i, _ in rows], [t for _, t in rows])), OUT)
         found = one if found is None else found.unionByName(one)
     best = F.struct("n_matched", -F.col("n_tokens"), -F.col("doc_start"), -F.col("item_start"))
     return (

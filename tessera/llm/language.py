@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, small
+from tessera.llm.common import in_batches, narrow, release, small
 
 #: Labelled documents of each language that the n-gram model is fitted on, at most.
 TRAIN_DOCS = 1_000
@@ -436,7 +436,7 @@ def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH
                 yield part
             release()
 
-    return docs.select("doc_id", "text").mapInPandas(run, OUT)
+    return in_batches(docs.select("doc_id", "text"), run, OUT)
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -451,4 +451,5 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
         release()
         return pd.Series(found, index=text.index, dtype=bool)
 
+    narrow(docs.sparkSession)
     return docs.where(accepted("text"))

@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import in_batches
 from tessera.llm.license_rules import Rule, rules
 
 #: White space that is more or other than one blank, and what begins a line of a comment.
@@ -120,4 +121,4 @@ def scan(docs: DataFrame) -> DataFrame:
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return docs.select("doc_id", "text").mapInPandas(run, OUT)
+    return in_batches(docs.select("doc_id", "text"), run, OUT)

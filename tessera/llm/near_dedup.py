@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, mix64, release, shared_dir, slices, small, words, written
+from tessera.llm.common import BROADCAST_ROWS, in_batches, mix64, release, shared_dir, slices, small, words, written
 from tessera.llm.components import connected_components
 
 THRESHOLD = 0.6
@@ -342,7 +342,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     own = hubs.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(held, "doc_id")
     own = own.select(F.col("doc_id").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "text")
     rows = others.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInPandas(_exact, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    return in_batches(rows, _exact, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def _cell(*groups) -> Column:
@@ -357,7 +357,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     need = least_matches(threshold, miss)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
 
-    signed = written(texts.mapInPandas(_signatures, "doc_id long, content binary, sig binary, bands array<long>"), f"{folder}/signed")
+    signed = written(in_batches(texts, _signatures, "doc_id long, content binary, sig binary, bands array<long>"), f"{folder}/signed")
     firsts = signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     firsts = written(firsts, f"{folder}/firsts")
     reps = signed.join(firsts.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi")

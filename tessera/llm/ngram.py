@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, ragged, release, shared_dir, words, written
+from tessera.llm.common import in_batches, mix64, ragged, release, shared_dir, words, written
 from tessera.llm.eliasfano import EliasFano, encode
 
 #: Characters of text per vocabulary shard.
@@ -444,7 +444,7 @@ def train(docs: DataFrame, folder: str | None = None, min_word: int = MIN_WORD,
     n_texts, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
     vocab = 1 << max(4, ((chars or 0) // SHARD_CHARS).bit_length())
     blob = "shard long, n long, blob binary"
-    stats = texts.mapInPandas(_count_words(vocab), blob).groupBy("shard").applyInPandas(_build_vocab(folder, min_word), "shard long, kept long, tokens long")
+    stats = in_batches(texts, _count_words(vocab), blob).groupBy("shard").applyInPandas(_build_vocab(folder, min_word), "shard long, kept long, tokens long")
     rows = written(stats, f"{uri}/vocabulary").collect()  # a row per vocabulary shard
     if not rows:
         return None
@@ -454,7 +454,7 @@ def train(docs: DataFrame, folder: str | None = None, min_word: int = MIN_WORD,
     unknown = max(1, tokens // 50)
     shards = max(1, -(-tokens // SHARD_TOKENS))
     middle = max(1, -(-shards // 4))
-    found = texts.mapInPandas(_count_trigrams(folder, sizes, shards, unknown, n_texts), blob)
+    found = in_batches(texts, _count_trigrams(folder, sizes, shards, unknown, n_texts), blob)
     pairs = found.groupBy("shard").applyInPandas(_build_trigrams(folder, size, middle, min_trigram), f"{blob}, bytes long")
     ends = pairs.groupBy("shard").applyInPandas(_build_bigrams(folder, size), "word long, n long")
     per_word = ends.groupBy("word").agg(F.sum("n").alias("n"))
@@ -514,4 +514,4 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
             )
             release()
 
-    return docs.select("doc_id", "text").mapInPandas(run, OUT)
+    return in_batches(docs.select("doc_id", "text"), run, OUT)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE, _IS_WORD, _pieces, _powers, mix64
+from tessera.llm.common import _BYTE, _IS_WORD, _pieces, _powers, in_batches, mix64
 
 DIM = 1 << 18
 BINS = 16
@@ -275,4 +275,4 @@ def scored(docs: DataFrame, model: Ordinal, columns: dict[str, str], row) -> Dat
             yield pd.DataFrame({"doc_id": ids.to_numpy(), **dict(zip(columns, out))})
 
     schema = "doc_id long, " + ", ".join(f"{k} {v}" for k, v in columns.items())
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return in_batches(docs.select("doc_id", "text"), run, schema)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, shared_dir, slices, written
+from tessera.llm.common import in_batches, narrow, release, shared_dir, slices, written
 from tessera.llm.forest import Forest
 
 #: Words that the generated findings are made of, at most; they are a sample, chosen by hash.
@@ -324,7 +324,7 @@ def _piece_counts(cap: int):
 
 def fit(docs: DataFrame, labelled: DataFrame | None = None, finding_words: int = FINDING_WORDS) -> Scanner:
     """Scanner with a dictionary of all words of all documents."""
-    words = docs.where("text is not null").select("text").mapInPandas(_word_counts, "word string, n long")
+    words = in_batches(docs.where("text is not null").select("text"), _word_counts, "word string, n long")
     words = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_WORD)
     words = written(words, shared_dir(docs.sparkSession) + "/words")
     total = words.agg(F.sum("n")).first()[0] or 0
@@ -367,7 +367,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                 yield frame
             release()
 
-    return docs.select("doc_id", "text").mapInPandas(run, OUT)
+    return in_batches(docs.select("doc_id", "text"), run, OUT)
 
 
 def redact(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
@@ -387,5 +387,6 @@ def redact(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
         release()
         return pd.Series(out, index=text.index, dtype=object)
 
+    narrow(docs.sparkSession)
     done = docs.withColumn("text", cleaned("text"))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
