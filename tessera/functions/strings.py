@@ -73,6 +73,21 @@ def decode_tag(tag: str) -> str | None:
     return raw.decode("utf-8", "replace")
 
 
+def tag_name(commit: Column) -> Column:
+    """``encode_tag`` as an expression."""
+    utf8 = F.hex(F.encode(commit, "UTF-8"))
+    plain = F.transform(F.regexp_extract_all(utf8, F.lit("(..)"), 1), lambda h: F.when(h == "2D", "--").when(h.rlike("^(3[0-9]|4[1-9A-F]|5[0-9A]|5F|6[1-9A-F]|7[0-9A])$"), F.decode(F.unhex(h), "UTF-8")).otherwise(F.concat(F.lit("-"), F.lower(h))))
+    return F.concat(F.lit("c_"), F.array_join(plain, ""))
+
+
+def tag_commit(tag: Column) -> Column:
+    """``decode_tag`` as an expression; null where the name is no tag of this codec."""
+    ok = tag.rlike("^c_(?:[A-Za-z0-9_]|--|-[0-9a-fA-F]{2})*$")
+    parts = F.regexp_extract_all(F.substring(tag, 3, 1_000_000), F.lit("(--|-[0-9a-fA-F]{2}|[A-Za-z0-9_])"), 1)
+    codes = F.transform(parts, lambda x: F.when(x == "--", "2D").when(F.length(x) == 3, F.substring(x, 2, 2)).otherwise(F.hex(F.encode(x, "UTF-8"))))
+    return F.when(ok, F.decode(F.unhex(F.array_join(codes, "")), "UTF-8"))
+
+
 def encode_domain(org: str, db: str) -> str:
     """Two names as one folder name: percent-encoded, joined by two underscores."""
     return "__".join(quote(x, safe="").replace("_", "%5F") for x in (org, db))

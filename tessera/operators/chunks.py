@@ -38,8 +38,8 @@ def doc_chunks(chunks: DataFrame, doc_id: str) -> DataFrame:
 
 
 def first_chunk(chunks: DataFrame, *columns: str) -> DataFrame:
-    """One row per document: the columns of its lowest chunk (ties: any equal index, by value)."""
-    best = F.min_by(F.struct(*columns), F.struct("chunk_index"))
+    """One row per document: the columns of its lowest chunk (of equal indexes the least values)."""
+    best = F.min_by(F.struct(*columns), F.struct("chunk_index", *columns))
     return chunks.groupBy("doc_id").agg(best.alias("b")).select("doc_id", *[F.col(f"b.{c}") for c in columns])
 
 
@@ -62,6 +62,7 @@ def checked(chunks: DataFrame, dim: int, vector: str = "embedding") -> DataFrame
     return chunks.withColumn(vector, F.when(good, F.col(vector)).otherwise(bad))
 
 
-def counts(chunks: DataFrame) -> DataFrame:
-    """One row: live chunks and distinct documents."""
-    return chunks.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+def counts(chunks: DataFrame, *by: str) -> DataFrame:
+    """Live chunks and distinct documents: one row, or one for each value of ``by``."""
+    own = chunks.groupBy(*by) if by else chunks
+    return own.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))

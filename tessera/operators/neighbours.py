@@ -1,14 +1,18 @@
 """k-nearest-neighbour joins between populations of chunks.
 
-Vectors are packed into blocks of ``BLOCK`` rows; every pair of blocks is one
-matrix product, of which only the k best per probe leave the task.  No side is
-broadcast, so the join is exact at any size; ``ivf`` is the approximate way.
+Both sides are cut into groups; a grid of cells takes every pair of groups, and
+a cell is an equi-join key.  In a cell probes stream past its candidates,
+``BLOCK`` by ``BLOCK`` rows a matrix product, of which only the k best per probe
+leave the task.  Shuffled rows grow with the side of the grid, not with the
+square of the rows; no side is broadcast.  ``ivf`` is the approximate way.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,58 +40,93 @@ def bounded(population: DataFrame, most: int = POPULATION_BOUND) -> DataFrame:
     return population
 
 
-def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
-    """(doc ids, chunk indexes, vectors) of about BLOCK rows a row."""
-    size = max(1, -(-rows.count() // BLOCK))
-    packed = rows.groupBy(F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(size)).alias("b")).agg(F.collect_list(F.struct("doc_id", "chunk_index", "embedding")).alias("rows"))
-    return packed.select(F.col("b").alias(f"{prefix}b"), F.col("rows.doc_id").alias(f"{prefix}id"), F.col("rows.chunk_index").alias(f"{prefix}chunk"), F.col("rows.embedding").alias(f"{prefix}vec"))
-
-
-def _matrix(vectors) -> np.ndarray:
-    m = np.array([np.asarray(v, np.float64) for v in vectors])
-    if m.dtype == object:
-        raise ValueError("vectors differ in dimension")
-    return V.unit_rows(m)
-
+def grid_side(rows: DataFrame) -> int:
+    """Groups that each side of a join is cut into: as many cells as there are shuffle partitions."""
+    return max(1, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _cells(rows: DataFrame, side: int, probes: bool) -> DataFrame:
+    """Every row of one side in all cells of its group (by document): ``side`` copies."""
+    group = F.pmod(F.xxhash64(F.lit("p" if probes else "c"), "doc_id"), F.lit(side))
+    other = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    rows = rows.select("doc_id", "chunk_index", "embedding", group.alias("g"), other.alias("o"))
+    cell = F.col("g") * side + F.col("o") if probes else F.col("o") * side + F.col("g")
+    return rows.select(cell.cast("int").alias("cell"), F.lit(int(probes)).alias("side"), "doc_id", "chunk_index", "embedding")
+
+
+def _nearest(ids, chunk, m, other, other_chunk, units, k: int, threshold: float | None, per_chunk: bool):
+    """Rows of the k nearest of a block of candidates, which are in the order that breaks ties."""
+    d = np.round(np.clip((1 - m @ units.T) / 2, 0, 1), V.DECIMALS)
+    d[ids[:, None] == other[None, :]] = np.inf
+    if threshold is not None:
+        d[d > threshold] = np.inf
+    if per_chunk:
+        # the best chunk of each candidate document stays
+        start = np.flatnonzero(np.r_[True, other[1:] != other[:-1]])
+        best = np.minimum.reduceat(d, start, axis=1)
+        of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(other)]))
+        first = (d == best[:, of]) & np.isfinite(d)
+        seen = np.cumsum(first, axis=1) - np.cumsum(first, axis=1)[:, start][:, of] + first[:, start][:, of]
+        d = np.where(first & (seen == 1), d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    i, j = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
+    ok = np.isfinite(d[i, j])
+    i, j = i[ok], j[ok]
+    return i, j, d[i, j]
+
+
+def _cell_join(k: int, threshold: float | None, per_chunk: bool):
+    """Arrow batches sorted by (cell, side): a cell's candidates, then its probes, which stream."""
+
+    def products(held: list[tuple], ids, chunk, m):
+        other, other_chunk, units = held
+        for p in range(0, len(ids), BLOCK):
+            own = slice(p, p + BLOCK)
+            for c in range(0, len(other), BLOCK):
+                cut = slice(c, c + BLOCK)
+                i, j, d = _nearest(ids[own], chunk[own], m[own], other[cut], other_chunk[cut], units[cut], k, threshold, per_chunk)
+                yield pa.RecordBatch.from_pydict(
+                    {"src_id": pa.array(ids[own][i], pa.string()), "src_chunk": pa.array(chunk[own][i], pa.int32()), "nbr_id": pa.array(other[cut][j], pa.string()), "nbr_chunk": pa.array(other_chunk[cut][j], pa.int32()), "distance": pa.array(d, pa.float64())}
+                )
 
-def _block_pairs(k: int, threshold: float | None, per_chunk: bool):
     def run(batches):
+        cell, parts, held = None, [], None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids, other = np.array(row.pid, object), np.array(row.cid, object)
-                chunk, order_chunk = np.array(row.pchunk), np.array(row.cchunk)
-                # candidates in the order that breaks ties
-                order = np.lexsort((order_chunk, other.astype(str)))
-                other, order_chunk = other[order], order_chunk[order]
-                d = np.round(np.clip((1 - _matrix(row.pvec) @ _matrix(row.cvec)[order].T) / 2, 0, 1), V.DECIMALS)
-                d[ids[:, None] == other[None, :]] = np.inf
-                if threshold is not None:
-                    d[d > threshold] = np.inf
-                if per_chunk:
-                    # the best chunk of each candidate document stays
-                    start = np.flatnonzero(np.r_[True, other[1:] != other[:-1]])
-                    best = np.minimum.reduceat(d, start, axis=1)
-                    of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(other)]))
-                    first = (d == best[:, of]) & np.isfinite(d)
-                    seen = np.cumsum(first, axis=1) - np.cumsum(first, axis=1)[:, start][:, of] + first[:, start][:, of]
-                    d = np.where(first & (seen == 1), d, np.inf)
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                i = np.repeat(np.arange(len(ids)), near.shape[1])
-                j = near.ravel()
-                ok = np.isfinite(d[i, j])
-                i, j = i[ok], j[ok]
-                yield pd.DataFrame({"src_id": ids[i], "src_chunk": chunk[i], "nbr_id": other[j], "nbr_chunk": order_chunk[j], "distance": d[i, j]})
+            cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+            edge = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (sides[1:] != sides[:-1]), True]) if len(cells) else []
+            for a, b in zip(edge[:-1], edge[1:]):
+                part = batch.slice(a, b - a)
+                ids, chunk = np.array(part.column("doc_id").to_pylist(), object), part.column("chunk_index").to_numpy(zero_copy_only=False)
+                m = V.unit_rows(V.flat(part.column("embedding")))
+                if cells[a] != cell:
+                    cell, parts, held = cells[a], [], None
+                if not sides[a]:
+                    parts.append((ids, chunk, m))
+                    continue
+                if held is None and parts:
+                    ids_c, chunk_c, m_c = (np.concatenate(x) for x in zip(*parts))
+                    order = np.lexsort((chunk_c, ids_c.astype(str)))
+                    held, parts = (ids_c[order], chunk_c[order], m_c[order]), []
+                if held is not None:
+                    if held[2].shape[1] != m.shape[1]:
+                        raise ValueError("vectors differ in dimension")
+                    yield from products(held, ids, chunk, m)
 
     return run
 
 
-def knn_join(probes: DataFrame, candidates: DataFrame, k: int = 1, threshold: float | None = None, per_document: bool = True) -> DataFrame:
+def knn_join(probes: DataFrame, candidates: DataFrame, k: int = 1, threshold: float | None = None, per_document: bool = True, side: int | None = None) -> DataFrame:
     """The k nearest of other documents for every probe chunk, with ``rank`` from 1.
 
     per_document: only the best chunk of a candidate document counts.
+    side: groups that each side is cut into (default: the root of the shuffle
+    partitions).  A row is shuffled ``side`` times; a task holds the candidates of
+    one group, so ``side`` should grow with the candidates over executor memory.
     """
-    pairs = _blocks(probes, "p").crossJoin(_blocks(candidates, "c")).repartition("pb", "cb")
-    found = pairs.mapInPandas(_block_pairs(k, threshold, per_document), _NEIGHBOURS)
+    side = side or grid_side(probes)
+    rows = _cells(candidates, side, False).unionByName(_cells(probes, side, True))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "side")
+    found = rows.mapInArrow(_cell_join(k, threshold, per_document), _NEIGHBOURS)
     if per_document:
         best = F.min(F.struct("distance", "nbr_chunk")).alias("b")
         found = found.groupBy("src_id", "src_chunk", "nbr_id").agg(best).select("src_id", "src_chunk", "nbr_id", F.col("b.nbr_chunk").alias("nbr_chunk"), F.col("b.distance").alias("distance"))
@@ -115,7 +154,8 @@ def pair_up(observations: DataFrame) -> DataFrame:
 
 def equal_override(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Distance 0 where the lowest-chunk vectors of both documents are equal element by element."""
-    first = C.first_chunk(chunks, "embedding")
+    ids = pairs.select(F.explode(F.array("id1", "id2")).alias("doc_id")).distinct()
+    first = C.first_chunk(chunks.join(ids, "doc_id", "left_semi"), "embedding")
     a = first.select(F.col("doc_id").alias("id1"), F.col("embedding").alias("_e1"))
     b = first.select(F.col("doc_id").alias("id2"), F.col("embedding").alias("_e2"))
     same = F.coalesce(V.vectors_equal(F.col("_e1"), F.col("_e2")), F.lit(False))
@@ -150,7 +190,8 @@ def candidates(source: DataFrame, target: DataFrame | None, k: int = 5, threshol
 def enrich(found: DataFrame, chunks: DataFrame, content: bool = False) -> DataFrame:
     """Candidates with the clustering distance of both lowest chunks and, if wanted, the texts."""
     columns = ["clustering_embedding", *(["content"] if content else [])]
-    first = C.first_chunk(chunks, *columns)
+    ids = found.select(F.explode(F.array("src_id", "nbr_id")).alias("doc_id")).distinct()
+    first = C.first_chunk(chunks.join(ids, "doc_id", "left_semi"), *columns)
     for side in ("src", "nbr"):
         found = found.join(first.select(F.col("doc_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in columns]), f"{side}_id", "left")
     d = V.clustering_distance(F.col("src_clustering_embedding"), F.col("nbr_clustering_embedding"))

@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.functions.strings import task_prefix
 from tessera.operators import chunks as C
 from tessera.operators import text as T
+from tessera.operators.embed import Provider, embed, isolated
 
 RRF_K = 60
 OVERFETCH = 3
@@ -32,9 +34,19 @@ def validate(mode: str = "hybrid", start: int = 0, count: int = 10) -> None:
         raise InvalidQuery("count must be from 1 to 1000")
 
 
+#: What a hit carries; texts and vectors stay in the table.
+HIT = ("doc_id", "doc_type", *C.LOCATOR)
+
+
+def scored(chunks: DataFrame, probe: list[float]) -> DataFrame:
+    """Every chunk's hit columns and ``distance``: only these and the vector leave the scan."""
+    own = [c for c in chunks.columns if c in HIT]
+    return V.with_distance(chunks.select(*own, "embedding"), probe).drop("embedding")
+
+
 def nearest_chunks(chunks: DataFrame, probe: list[float], k: int) -> DataFrame:
-    """The k chunks nearest to the probe, with ``distance``."""
-    return V.with_distance(chunks, probe).orderBy("distance", "doc_id", "chunk_index").limit(k)
+    """The k hits nearest to the probe, with ``distance``."""
+    return scored(chunks, probe).orderBy("distance", "doc_id", "chunk_index").limit(k)
 
 
 def best_chunk(hits: DataFrame, *order: Column) -> DataFrame:
@@ -59,20 +71,24 @@ def vector_search(chunks: DataFrame, probe: list[float], start: int = 0, count:
     validate("vector", start, count)
     rows = C.population(chunks, types, ids)
     k = _fetch(start, count, overfetch)
-    hits = V.with_distance(rows, probe) if k is None else nearest_chunks(rows, probe, k)
+    hits = scored(rows, probe) if k is None else nearest_chunks(rows, probe, k)
     return page(best_chunk(hits, F.col("distance")), start, count, F.col("distance"))
 
 
-def text_hits(chunks: DataFrame, query: str, k: int | None, types=None, ids=None) -> DataFrame:
-    """Chunks by BM25, with ``score`` and ``distance`` = 1 / (1 + score)."""
-    scored = T.bm25(chunks, query, C.population(chunks, types, ids))
+def text_hits(chunks: DataFrame, query: str, k: int | None, types=None, ids=None, index: T.Index | None = None) -> DataFrame:
+    """Chunks by BM25, with ``score`` and ``distance`` = 1 / (1 + score).
+
+    With an index of the chunks only the postings of the query's tokens are
+    read; hits then have its key columns.
+    """
+    scored = T.bm25(chunks, query, C.population(chunks, types, ids)) if index is None else index.bm25(query, types, ids)
     scored = scored.withColumn("distance", F.round(V.bm25_distance(F.col("score")), V.DECIMALS))
     return scored if k is None else scored.orderBy(F.desc("score"), "doc_id", "chunk_index").limit(k)
 
 
-def text_search(chunks: DataFrame, query: str, start: int = 0, count: int = 10, types=None, ids=None, overfetch: int | None = OVERFETCH) -> DataFrame:
+def text_search(chunks: DataFrame, query: str, start: int = 0, count: int = 10, types=None, ids=None, overfetch: int | None = OVERFETCH, index: T.Index | None = None) -> DataFrame:
     validate("fts", start, count)
-    hits = text_hits(chunks, query, _fetch(start, count, overfetch), types, ids)
+    hits = text_hits(chunks, query, _fetch(start, count, overfetch), types, ids, index)
     return page(best_chunk(hits, F.col("distance")), start, count, F.col("distance"))
 
 
@@ -89,20 +105,41 @@ def rrf(vector_hits: DataFrame, fts_hits: DataFrame) -> DataFrame:
     return both.select("doc_id", "chunk_index", F.round(part("rv") + part("rf"), 12).alias("rrf"), F.coalesce("dv", "df").alias("distance"), kind.alias("distance_kind"))
 
 
-def hybrid_search(chunks: DataFrame, probe: list[float], query: str, start: int = 0, count: int = 10, types=None, ids=None, rank_by: str = "rrf") -> DataFrame:
+def hybrid_search(chunks: DataFrame, probe: list[float], query: str, start: int = 0, count: int = 10, types=None, ids=None, rank_by: str = "rrf", index: T.Index | None = None) -> DataFrame:
     """Vector and text hits fused; ranked by fusion, or by distance alone."""
     validate("hybrid", start, count)
     k = (start + count) * OVERFETCH
-    fused = rrf(nearest_chunks(C.population(chunks, types, ids), probe, k), text_hits(chunks, query, k, types, ids))
+    fused = rrf(nearest_chunks(C.population(chunks, types, ids), probe, k), text_hits(chunks, query, k, types, ids, index))
     order = [F.desc("rrf"), F.col("distance")] if rank_by == "rrf" else [F.col("distance")]
     return page(best_chunk(fused, *order), start, count, *order)
 
 
-def search(chunks: DataFrame, mode: str, probe: list[float] | None, query: str, **how) -> DataFrame:
+def search(chunks: DataFrame, mode: str, probe: list[float] | None, query: str, provider: Provider | None = None, **how) -> DataFrame:
+    """One of the three modes; without a probe the provider embeds the query."""
     validate(mode, how.get("start", 0), how.get("count", 10))
+    if mode == "fts":
+        return text_search(chunks, query, **how)
+    probe = probe if probe is not None else embedded(provider, query, "query")
     if mode == "vector":
+        how.pop("index", None)
         return vector_search(chunks, probe, **how)
-    return text_search(chunks, query, **how) if mode == "fts" else hybrid_search(chunks, probe, query, **how)
+    return hybrid_search(chunks, probe, query, **how)
+
+
+def embedded(provider: Provider | None, text: str, role: str) -> list[float]:
+    """A text's unit vector in a role."""
+    if provider is None:
+        raise InvalidQuery("a provider or a vector is needed")
+    ((vector, error),) = isolated(provider, [task_prefix(provider.model, role) + text])
+    if error:
+        raise InvalidQuery(error)
+    size = sum(x * x for x in vector) ** 0.5
+    return [x / size for x in vector] if size else vector
+
+
+def similar_to_text(chunks: DataFrame, text: str, provider: Provider, **how) -> DataFrame:
+    """Documents nearest to a text, embedded as a document."""
+    return vector_search(chunks, embedded(provider, text, "document"), **how)
 
 
 class NotFound(LookupError):
@@ -113,8 +150,9 @@ def similar(chunks: DataFrame, doc_id: str, start: int = 0, count: int = 10, typ
     """Documents nearest to a stored one, itself left out.
 
     The probe is the lowest chunk in the same snapshot; an element-wise equal
-    first vector is at distance 0.
+    first vector is at distance 0.  Only the page's documents are looked at for that.
     """
+    validate("vector", start, count)
     own = C.doc_chunks(chunks, doc_id).orderBy("chunk_index").select("embedding").limit(1).collect()
     if not own:
         raise NotFound(doc_id)
@@ -125,19 +163,41 @@ def similar(chunks: DataFrame, doc_id: str, start: int = 0, count: int = 10, typ
     near = best_chunk(nearest_chunks(rows, probe, (start + count + 1) * OVERFETCH), F.col("distance"))
     near = page(near, 0, start + count + 1, F.col("distance")).where(F.col("doc_id") != F.lit(doc_id))
     paged = page(near, start, count, F.col("distance"))
-    firsts = C.first_chunk(chunks, "embedding").withColumnRenamed("embedding", "_first")
+    # a page has at most 1,000 rows
+    firsts = C.first_chunk(chunks.join(F.broadcast(paged.select("doc_id")), "doc_id", "left_semi"), "embedding").withColumnRenamed("embedding", "_first")
     literal = F.array(*[F.lit(float(x)) for x in probe]).cast("array<float>")
     same = F.coalesce(V.vectors_equal(F.col("_first"), literal), F.lit(False))
     out = F.broadcast(paged).join(firsts, "doc_id").withColumn("distance", F.when(same, 0.0).otherwise(F.col("distance"))).drop("_first")
     return out.orderBy("distance", "doc_id")
 
 
+#: What a comparison of texts in a role embeds its sides as.
+COMPARE_ROLES = {None: ("query", "document"), "query": ("query", "document"), "document": ("document", "document"), "clustering": ("clustering", "clustering"), "classification": ("classification", "classification")}
+
+
 def compare(pairs: DataFrame, left: str, right: str, left_vector: str, right_vector: str) -> DataFrame:
     """``distance`` of two texts: 0 for equal strings, else of their vectors."""
     d = V.cosine_distance(F.col(left_vector), F.col(right_vector))
     return pairs.withColumn("distance", F.when(F.col(left) == F.col(right), F.lit(0.0)).otherwise(d))
 
 
+def compare_texts(pairs: DataFrame, left: str, right: str, provider: Provider, role: str | None = None) -> DataFrame:
+    """pairs with ``distance`` of two text columns in a role; equal strings aren't embedded.
+
+    Null on either side, or a text that the provider refuses, gives null.
+    """
+    if role not in COMPARE_ROLES:
+        raise InvalidQuery(f"role must be one of {', '.join(r for r in COMPARE_ROLES if r)}")
+    own = pairs
+    apart = own.where(F.col(left) != F.col(right))
+    for side, text, as_role in (("_l", left, COMPARE_ROLES[role][0]), ("_r", right, COMPARE_ROLES[role][1])):
+        texts = apart.select(F.col(text).alias("content")).distinct()
+        made = embed(texts, provider, as_role).select(F.col("content").alias(f"{side}t"), F.col("vector").alias(f"{side}v"))
+        own = own.join(made, F.col(text) == F.col(f"{side}t"), "left").drop(f"{side}t")
+    d = F.when(F.col("_lv").isNotNull() & F.col("_rv").isNotNull(), V.cosine_distance(F.col("_lv"), F.col("_rv")))
+    return own.withColumn("distance", F.when(F.col(left) == F.col(right), F.lit(0.0)).otherwise(d)).drop("_lv", "_rv")
+
+
 # ---- typeahead
 
 
@@ -157,21 +217,26 @@ def match_columns(content: Column, query: str) -> dict[str, Column]:
     return {"match_start": at, "match_end": at + len(query) + F.length(tail), "next_words": following}
 
 
-def suggest(chunks: DataFrame, query: str, count: int = 11, types=None, ids=None) -> DataFrame:
+def suggest(chunks: DataFrame, query: str, count: int = 11, types=None, ids=None, index: T.Index | None = None) -> DataFrame:
     """Best documents for what was typed, with the match and the words after it.
 
-    Full text first; where that finds nothing, the substring scan.
+    Full text first; where that finds nothing, the substring scan.  Text is read
+    only of the chunks that are shown.
     """
     k = min((count + 1) * 5, 200)
-    hits = text_hits(chunks, query, k, types, ids).drop("score")
-    if hits.isEmpty():
-        hits = substring_hits(chunks, query, types, ids)
-    best = page(best_chunk(hits, F.col("distance")), 0, count, F.col("distance"))
+    keys = [r for r in text_hits(chunks, query, k, types, ids, index).select("doc_id", "chunk_index", "distance").collect()]  # at most 200
+    if keys:
+        hits = chunks.sparkSession.createDataFrame(keys, "doc_id string, chunk_index int, distance double")
+        best = page(best_chunk(hits, F.col("distance")), 0, count, F.col("distance"))
+        shown = chunks.where(F.col("doc_id").isin(*{r.doc_id for r in keys})).select("doc_id", "chunk_index", "content")
+        best = shown.join(F.broadcast(best), ["doc_id", "chunk_index"])
+    else:
+        best = page(best_chunk(substring_hits(chunks, query, types, ids), F.col("distance")), 0, count, F.col("distance"))
     found = match_columns(F.col("content"), query)
     has = F.col("match_start") >= 0
     out = best.select("doc_id", "chunk_index", "distance", F.col("content").alias("snippet"), *[c.alias(n) for n, c in found.items()])
     empty = {"match_start": F.lit(None), "match_end": F.lit(None), "next_words": F.array().cast("array<string>")}
-    return out.select("doc_id", "chunk_index", "distance", "snippet", *[F.when(has, F.col(n)).otherwise(e).alias(n) for n, e in empty.items()])
+    return out.select("doc_id", "chunk_index", "distance", "snippet", *[F.when(has, F.col(n)).otherwise(e).alias(n) for n, e in empty.items()]).orderBy("distance", "doc_id")
 
 
 def completions(snippets: DataFrame, query: str, column: str = "snippet", most: int = 8) -> DataFrame:

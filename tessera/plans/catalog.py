@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.functions import strings as S
@@ -82,7 +79,12 @@ def similar_documents(spark, sf):
   h AS (SELECT *, round(1 / (1 + score), 9) AS distance FROM scored WHERE score > 0 ORDER BY score DESC, doc_id, chunk_index LIMIT 30)
   SELECT doc_id, chunk_index, score, distance FROM h ORDER BY distance, doc_id LIMIT 10""")
 def fts_topk(spark, sf):
-    return search.text_search(X.text_chunks(spark, sf), WORDS).select("doc_id", "chunk_index", "score", "distance")
+    return search.text_search(X.text_chunks(spark, sf), WORDS, index=X.text_index(spark, sf)).select("doc_id", "chunk_index", "score", "distance")
+
+
+@query(f"WITH {X.TX}, {X.bm25_sql('tx', WORDS)} SELECT doc_id, chunk_index, doc_type, score FROM scored WHERE score > 0")
+def indexed_bm25_scores(spark, sf):
+    return X.text_index(spark, sf).bm25(WORDS).select("doc_id", "chunk_index", "doc_type", "score")
 
 
 @query(f"WITH {X.TX}, {X.bm25_sql('tx', WORDS)} SELECT doc_id, chunk_index, score FROM scored WHERE score > 0")
@@ -93,7 +95,7 @@ def bm25_scores(spark, sf):
 @query(f"""WITH {X.TX}, {X.bm25_sql('tx', 'der die the')}, h AS (SELECT *, round(1 / (1 + score), 9) AS distance FROM scored WHERE score > 0 AND doc_type IN ('de', 'fr') ORDER BY score DESC, doc_id, chunk_index LIMIT 30)
   SELECT doc_id, chunk_index, score, distance FROM h ORDER BY distance, doc_id LIMIT 10""")
 def fts_filtered(spark, sf):
-    return search.text_search(X.text_chunks(spark, sf), "der die the", types=["de", "fr"]).select("doc_id", "chunk_index", "score", "distance")
+    return search.text_search(X.text_chunks(spark, sf), "der die the", types=["de", "fr"], index=X.text_index(spark, sf)).select("doc_id", "chunk_index", "score", "distance")
 
 
 _FUSED = f"""WITH {X.PX}, p AS (SELECT e FROM ch WHERE vec_id = 0), {X.bm25_sql('px', WORDS)},
@@ -113,7 +115,7 @@ def _fused_sql(order: str) -> str:
 
 @query(_fused_sql("rrf DESC, distance"))
 def hybrid_search(spark, sf):
-    return search.hybrid_search(X.paired_chunks(spark, sf), X.probe(spark, sf), WORDS).select("doc_id", "chunk_index", "rrf", "distance", "distance_kind")
+    return search.hybrid_search(X.paired_chunks(spark, sf), X.probe(spark, sf), WORDS, index=X.text_index(spark, sf, X.paired_chunks)).select("doc_id", "chunk_index", "rrf", "distance", "distance_kind")
 
 
 @query(_fused_sql("distance"))
@@ -149,16 +151,65 @@ def match_and_next_words(spark, sf):
     return docs.select("doc_id", c["match_start"].cast("int").alias("match_start"), c["match_end"].cast("int").alias("match_end"), F.array_join(c["next_words"], " ").alias("next_words"))
 
 
-@query()
+_SUGGEST = rf"""WITH {X.TX}, {X.bm25_sql('tx', 'licensed')},
+  h AS (SELECT doc_id, round(1 / (1 + score), 9) AS distance FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 60),
+  top AS (SELECT h.doc_id, distance, content FROM h JOIN tx USING (doc_id) ORDER BY distance, h.doc_id LIMIT 11),
+  m AS (SELECT *, instr(lower(content), 'licensed') AS i FROM top), r AS (SELECT *, substr(content, i + 8) AS rest FROM m), t AS (SELECT *, regexp_extract(rest, '^[^\s.,;:]*') AS tail FROM r)"""
+
+
+@query(rf"""{_SUGGEST} SELECT doc_id, distance, content AS snippet, CAST(i - 1 AS INTEGER) AS match_start, CAST(i - 1 + 8 + length(tail) AS INTEGER) AS match_end,
+    array_to_string(list_filter(string_split_regex(substr(rest, length(tail) + 1), '[\s.,;:]+'), lambda w: w != '')[1:5], ' ') AS next_words FROM t""")
 def suggest(spark, sf):
-    return search.suggest(X.text_chunks(spark, sf), "licensed")
+    out = search.suggest(X.text_chunks(spark, sf), "licensed", index=X.text_index(spark, sf))
+    return out.select("doc_id", "distance", "snippet", F.col("match_start").cast("int").alias("match_start"), F.col("match_end").cast("int").alias("match_end"), F.array_join("next_words", " ").alias("next_words"))
 
 
-@query()
+def _completions_sql(source: str) -> str:
+    """A word with the query, at the end of what lies between blanks, and up to three words after it."""
+    return rf"""sq AS (SELECT string_split(regexp_replace(content, '\s+', ' ', 'g'), ' ') AS t FROM {source}), pos AS (SELECT t, unnest(range(1, len(t))) AS i FROM sq),
+  w AS (SELECT regexp_extract(t[i], '[^.,;:]*$') AS a, regexp_extract(t[i + 1], '^[^.,;:]+') AS b, t[i + 1] AS tb, coalesce(regexp_extract(t[i + 2], '^[^.,;:]+'), '') AS c, t[i + 2] AS tc, coalesce(regexp_extract(t[i + 3], '^[^.,;:]+'), '') AS d FROM pos),
+  x AS (SELECT concat(a, ' ', b, CASE WHEN b = tb AND c != '' THEN concat(' ', c, CASE WHEN c = tc AND d != '' THEN ' ' || d ELSE '' END) ELSE '' END) AS c FROM w WHERE contains(lower(a), 'licen') AND b != '')
+  SELECT min(c) AS completion, count(*) AS n FROM x GROUP BY lower(c) ORDER BY n DESC, length(min(c)) DESC, 1 LIMIT 8"""
+
+
+@query(f"WITH {X.TX}, {_completions_sql('tx')}")
 def completions(spark, sf):
     return search.completions(X.table(spark, sf, "documents").select(F.col("text").alias("snippet")), "licen")
 
 
+@query(f"{_SUGGEST}, five AS (SELECT content FROM top ORDER BY distance, doc_id LIMIT 5), {_completions_sql('five')}")
+def suggest_completions(spark, sf):
+    """Completions in the five best documents' snippets, as the typeahead shows them."""
+    five = search.suggest(X.text_chunks(spark, sf), "licensed", index=X.text_index(spark, sf)).limit(5)
+    return search.completions(five, "licen")
+
+
+class Letters:
+    """A provider that SQL can follow: how often a text has a, e, i and o."""
+
+    model, dim = "letters", 4
+
+    def embed(self, texts):
+        return [[float(t.count(c)) for c in "aeio"] for t in texts]
+
+
+_LETTERS = "[" + ", ".join(f"CAST(length({{0}}) - length(replace({{0}}, '{c}', '')) AS DOUBLE)" for c in "aeio") + "]"
+
+
+def _letters(column: str) -> str:
+    return _LETTERS.replace("{0}", column)
+
+
+@query(f"""WITH p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.text AS x, b.text AS y, {_letters('a.text')} AS u, {_letters('b.text')} AS v FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 OR (a.text = b.text AND a.doc_id < b.doc_id)),
+  q AS (SELECT *, sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)) AS size FROM p)
+  SELECT left_id, right_id, CASE WHEN x = y THEN 0.0 WHEN size = 0 THEN 0.5 ELSE round(least(greatest((1 - list_dot_product(u, v) / size) / 2, 0), 1), 9) END::DOUBLE AS distance FROM q""")
+def compare_texts(spark, sf):
+    d = X.table(spark, sf, "documents")
+    a, b = d.select(F.col("doc_id").alias("left_id"), F.col("text").alias("a")), d.select(F.col("doc_id").alias("right_id"), F.col("text").alias("b"))
+    pairs = a.join(b, F.col("right_id") == F.col("left_id") + 1).unionByName(a.join(b, F.col("a") == F.col("b")).where("left_id < right_id")).distinct()
+    return search.compare_texts(pairs, "a", "b", Letters(), "document").select("left_id", "right_id", "distance")
+
+
 @query("""SELECT a.doc_id AS left_id, b.doc_id AS right_id, 0.0::DOUBLE AS distance FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id""")
 def compare_equal_texts(spark, sf):
     d = X.table(spark, sf, "documents").select("doc_id", "text", F.array(F.lit(1.0)).alias("v"))
@@ -171,7 +222,8 @@ def compare_vectors(spark, sf):
     c = X.vector_chunks(spark, sf)
     a = c.select(F.col("vec_id").alias("left_id"), "doc_id", F.col("embedding").alias("va"))
     b = c.select(F.col("vec_id").alias("right_id"), "doc_id", F.col("embedding").alias("vb"))
-    return a.join(b, "doc_id").where("left_id < right_id").select("left_id", "right_id", V.cosine_distance(F.col("va"), F.col("vb")).alias("distance"))
+    pairs = a.join(b, "doc_id").where("left_id < right_id").withColumns({"a": F.col("left_id").cast("string"), "b": F.col("right_id").cast("string")})
+    return search.compare(pairs, "a", "b", "va", "vb").select("left_id", "right_id", "distance")
 
 
 # ---- scans, filters, sinks
@@ -194,8 +246,9 @@ def embedding_export(spark, sf):
     return first.select("doc_id", F.col("embedding")[0].cast("double").alias("first_element"), F.size("embedding").cast("long").alias("dim"))
 
 
-@query("""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x != '') AS t FROM documents)
-  SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(CASE WHEN len(t) <= 439 THEN text ELSE array_to_string(t, ' ') END) AS content FROM w""")
+@query(r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+') AS t FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(CASE WHEN len(t) <= 439 THEN text ELSE
+    array_to_string(list_transform(range(CAST(ceil(len(t) / 439.0) AS BIGINT)), lambda i: regexp_replace(array_to_string(t[i * 439 + 1 : i * 439 + 439], ''), '^\s+', '')), ' ') END) AS content FROM w""")
 def document_content(spark, sf):
     whole = C.doc_content(chunking.chunk(X.table(spark, sf, "documents"), 439, 0))
     return whole.select("doc_id", F.sha2("content", 256).alias("content"))
@@ -208,7 +261,7 @@ def live_counts(spark, sf):
 
 @query(f"WITH {X.CH} SELECT doc_type, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM ch GROUP BY 1")
 def filtered_counts(spark, sf):
-    return X.vector_chunks(spark, sf).groupBy("doc_type").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+    return C.counts(X.vector_chunks(spark, sf), "doc_type")
 
 
 @query(f"WITH {X.CH} SELECT doc_id, chunk_index, chunk_index * 100 / 400 AS location FROM ch")
@@ -224,9 +277,13 @@ def json_sink(spark, sf):
 # ---- scalar functions
 
 
-@query("SELECT page_id, CASE WHEN len(string_split(url, '/')) >= 2 AND string_split(url, '/')[-2] != '' THEN string_split(url, '/')[-2] ELSE 'unknown' END AS doc_type FROM pages WHERE NOT contains(url, '///')")
+@query("""WITH p AS (SELECT page_id, string_split(string_split(url, '///')[-1], '/') AS t FROM pages UNION ALL SELECT -page_id - 1, string_split(string_split(concat('data:///', url), '///')[-1], '/') FROM pages)
+  SELECT page_id, CASE WHEN len(t) >= 2 AND t[-2] != '' THEN t[-2] ELSE 'unknown' END AS doc_type FROM p""")
 def document_types(spark, sf):
-    return X.table(spark, sf, "pages").where("not contains(url, '///')").select("page_id", S.doc_type(F.col("url")).alias("doc_type"))
+    """All urls, as they are and behind ``data:///``."""
+    pages = X.table(spark, sf, "pages").select("page_id", "url")
+    both = pages.unionByName(pages.select((-F.col("page_id") - 1).alias("page_id"), F.concat(F.lit("data:///"), "url").alias("url")))
+    return both.select("page_id", S.doc_type(F.col("url")).alias("doc_type"))
 
 
 @query("SELECT doc_id, source AS org, lang AS db, 'local' AS repo, 'branch' AS kind, 'main' AS ref FROM documents")
@@ -254,10 +311,14 @@ def clustering_distances(spark, sf):
     return c.join(first, "doc_id").select("vec_id", V.clustering_distance(F.col("clustering_embedding"), F.col("f")).alias("clustering_distance"))
 
 
-@query("SELECT e.vec_id, concat(e.label, '-', d.doc_id) AS pair FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.embedding = e.embedding")
+@query("SELECT vec_id, embedding = CASE vec_id % 3 WHEN 0 THEN list_concat([-embedding[1]], embedding[2:]) WHEN 1 THEN embedding[2:] ELSE embedding END AS equal FROM embeddings")
 def equal_vectors(spark, sf):
-    e = X.table(spark, sf, "embeddings").where(V.vectors_equal(F.col("embedding"), F.col("embedding")))
-    return e.join(X.table(spark, sf, "documents"), F.col("doc_id") == F.col("vec_id")).select("vec_id", F.concat_ws("-", "label", "doc_id").alias("pair"))
+    """Each vector against itself, a copy with one element changed, or one cut short."""
+    e = X.table(spark, sf, "embeddings")
+    v, k = F.col("embedding"), F.col("vec_id") % 3
+    changed = F.transform(v, lambda x, i: F.when(i == 0, -x).otherwise(x))
+    other = F.when(k == 0, changed).when(k == 1, F.slice(v, 2, 10_000)).otherwise(v)
+    return e.select("vec_id", V.vectors_equal(v, other).alias("equal"))
 
 
 # ---- text
@@ -307,10 +368,12 @@ def duplicates_within_set(spark, sf):
     return N.duplicates(c, C.population(c, ["Thing"]), threshold=0.35, scope="set")
 
 
-@query(f"""WITH {X.CH}, twin AS (SELECT doc_id AS id1, concat(doc_id, '-copy') AS id2 FROM ch WHERE chunk_index = 0) SELECT id1, id2, 0.0::DOUBLE AS distance FROM twin""")
+@query(f"""WITH {X.CH} SELECT doc_id AS id1, concat(doc_id, '-copy') AS id2, CASE doc_type WHEN 'Place' THEN 0.7 ELSE 0.0 END::DOUBLE AS distance FROM ch WHERE chunk_index = 0""")
 def equal_vector_override(spark, sf):
+    """Twins with equal first vectors, and (of one type) with the elements the other way round."""
     c = X.vector_chunks(spark, sf)
-    both = c.unionByName(c.withColumn("doc_id", F.concat("doc_id", F.lit("-copy"))))
+    turned = F.when(F.col("doc_type") == "Place", F.reverse("embedding")).otherwise(F.col("embedding"))
+    both = c.unionByName(c.withColumn("embedding", turned).withColumn("doc_id", F.concat("doc_id", F.lit("-copy"))))
     pairs = c.where("chunk_index = 0").select(F.col("doc_id").alias("id1"), F.concat("doc_id", F.lit("-copy")).alias("id2"), F.lit(0.7).alias("distance"))
     return N.equal_override(pairs, both).select("id1", "id2", "distance")
 
@@ -348,18 +411,23 @@ def candidates_enriched(spark, sf):
     return N.enrich(_candidates(spark, sf), X.vector_chunks(spark, sf)).select("direction", "src_id", "nbr_id", "distance", "clustering_distance")
 
 
-_MATCHED = f"""{_CAND},
-  e AS (SELECT set_id, target_id, min(distance) AS distance FROM (SELECT src_id AS set_id, nbr_id AS target_id, distance FROM there UNION ALL SELECT nbr_id, src_id, distance FROM back) WHERE distance <= 0.42 GROUP BY 1, 2),
+def _matched_sql(core: float, set_extra: float, target_extra: float) -> str:
+    return f"""{_CAND},
+  e AS (SELECT set_id, target_id, min(distance) AS distance FROM (SELECT src_id AS set_id, nbr_id AS target_id, distance FROM there UNION ALL SELECT nbr_id, src_id, distance FROM back) WHERE distance <= {max(core, set_extra, target_extra)} GROUP BY 1, 2),
   f AS (SELECT e.*, t.src_id IS NOT NULL AS s, b.src_id IS NOT NULL AS t FROM e LEFT JOIN there t ON t.src_id = set_id AND t.nbr_id = target_id LEFT JOIN back b ON b.src_id = target_id AND b.nbr_id = set_id),
-  g AS (SELECT *, s AND t AND distance <= 0.40 AS near, row_number() OVER (PARTITION BY set_id ORDER BY (s AND t AND distance <= 0.40) DESC, distance, target_id) AS r FROM f),
-  matched AS (SELECT set_id, target_id, distance, CASE WHEN near AND r = 1 THEN 'core' WHEN s AND distance <= 0.42 THEN 'set_extra' WHEN t AND distance <= 0.41 THEN 'target_extra' END AS stage FROM g),
+  g AS (SELECT *, s AND t AND distance <= {core} AS near, row_number() OVER (PARTITION BY set_id ORDER BY (s AND t AND distance <= {core}) DESC, distance, target_id) AS r FROM f),
+  matched AS (SELECT set_id, target_id, distance, CASE WHEN near AND r = 1 THEN 'core' WHEN s AND distance <= {set_extra} THEN 'set_extra' WHEN t AND distance <= {target_extra} THEN 'target_extra' END AS stage FROM g),
   kept AS (SELECT * FROM matched WHERE stage IS NOT NULL)"""
 
 
-def _matched(spark, sf):
+_LOOSE, _TIGHT = (0.40, 0.42, 0.41), (0.34, 0.36, 0.35)
+_MATCHED = _matched_sql(*_LOOSE)
+
+
+def _matched(spark, sf, thresholds=_LOOSE):
     c = _candidates(spark, sf)
     side = lambda d: c.where(F.col("direction") == d).drop("direction")
-    return matching.resolve(side("set_to_target"), side("target_to_set"), 5, 0.40, 0.42, 0.41)
+    return matching.resolve(side("set_to_target"), side("target_to_set"), 5, *thresholds)
 
 
 def _points(spark, sf, kind):
@@ -371,9 +439,9 @@ def resolve_matches(spark, sf):
     return _matched(spark, sf)
 
 
-@query(f"{_MATCHED} SELECT 'set' AS side, doc_id AS id FROM ch WHERE doc_type = 'Person' AND doc_id NOT IN (SELECT set_id FROM kept) GROUP BY 2 UNION ALL SELECT 'target', doc_id FROM ch WHERE doc_type = 'Place' AND doc_id NOT IN (SELECT target_id FROM kept) GROUP BY 2")
+@query(f"{_matched_sql(*_TIGHT)} SELECT 'set' AS side, doc_id AS id FROM ch WHERE doc_type = 'Person' AND doc_id NOT IN (SELECT set_id FROM kept) GROUP BY 2 UNION ALL SELECT 'target', doc_id FROM ch WHERE doc_type = 'Place' AND doc_id NOT IN (SELECT target_id FROM kept) GROUP BY 2")
 def resolve_unmatched(spark, sf):
-    m = _matched(spark, sf)
+    m = _matched(spark, sf, _TIGHT)
     a = matching.unmatched(_points(spark, sf, "Person"), m, "set_id").select(F.lit("set").alias("side"), F.col("set_id").alias("id"))
     return a.unionByName(matching.unmatched(_points(spark, sf, "Place"), m, "target_id").select(F.lit("target").alias("side"), F.col("target_id").alias("id")))
 
@@ -405,29 +473,32 @@ def ivf_knn_join(spark, sf):
 
 
 @query(r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x != '') AS t FROM documents),
-  c AS (SELECT *, len(t) AS n, CASE WHEN len(t) <= 439 THEN 1 ELSE CAST(ceil((len(t) - 439) / 377.0) AS INTEGER) + 1 END AS k FROM w),
+  c AS (SELECT *, len(t) AS n, regexp_extract_all(text, '\s*\S+') AS p, CASE WHEN len(t) <= 439 THEN 1 ELSE CAST(ceil((len(t) - 439) / 377.0) AS INTEGER) + 1 END AS k FROM w),
   x AS (SELECT *, unnest(range(k)) AS i FROM c)
   SELECT CAST(doc_id AS VARCHAR) AS doc_id, i::INTEGER AS chunk_index, k::INTEGER AS chunk_count, (CASE WHEN k = 1 THEN 0 ELSE i * 377 END)::INTEGER AS chunk_token_start, n::INTEGER AS doc_token_len,
-    sha256(CASE WHEN k = 1 THEN text ELSE array_to_string(t[i * 377 + 1 : i * 377 + 439], ' ') END) AS content FROM x""")
+    sha256(CASE WHEN k = 1 THEN text ELSE regexp_replace(array_to_string(p[i * 377 + 1 : i * 377 + 439], ''), '^\s+', '') END) AS content FROM x""")
 def chunk_documents(spark, sf):
     rows = chunking.chunk(X.table(spark, sf, "documents"), 439, 439 // 7)
     return rows.select("doc_id", "chunk_index", "chunk_count", "chunk_token_start", "doc_token_len", F.sha2("content", 256).alias("content"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 64 AS dim, NULL::VARCHAR AS error FROM documents")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, v[1] AS v1, v[2] AS v2, v[3] AS v3, v[4] AS v4, NULL::VARCHAR AS error FROM (SELECT doc_id, {_letters('text')} AS v FROM documents)")
 def embed_documents(spark, sf):
     rows = X.text_chunks(spark, sf).withColumn("doc_id", F.element_at(F.split("doc_id", "/"), -1))
-    out = embed.embed(rows, embed.HashingProvider(64))
-    return out.select("doc_id", F.size("vector").alias("dim"), "error")
+    out = embed.embed(rows, Letters())
+    return out.select("doc_id", *[F.col("vector")[i].cast("double").alias(f"v{i + 1}") for i in range(4)], "error")
 
 
-@query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'Inserted' WHEN 1 THEN 'Changed' ELSE 'Deleted' END AS op, CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 < 2 THEN text END AS string, true AS valid FROM documents""")
+@query("""SELECT CASE doc_id % 7 WHEN 0 THEN 'Inserted' WHEN 1 THEN 'Changed' WHEN 2 THEN 'Deleted' WHEN 3 THEN 'Error' WHEN 4 THEN 'Abort' WHEN 6 THEN 'Inserted' END AS op,
+  CASE WHEN doc_id % 7 IN (0, 1, 2, 6) THEN CAST(doc_id AS VARCHAR) END AS id, CASE WHEN doc_id % 7 < 2 THEN text END AS string, CASE WHEN doc_id % 7 = 3 THEN source END AS message, doc_id % 7 < 5 AS valid FROM documents""")
 def parse_operations(spark, sf):
+    """Every kind of operation, lines that are no JSON, and insertions without a text."""
     d = X.table(spark, sf, "documents")
-    k = F.col("doc_id") % 3
-    op = F.when(k == 0, "Inserted").when(k == 1, "Changed").otherwise("Deleted")
-    lines = d.select(F.to_json(F.struct(op.alias("op"), F.col("doc_id").cast("string").alias("id"), F.when(k < 2, F.col("text")).alias("string"))).alias("value"))
-    return ndjson.parse(lines).select("op", "id", "string", "valid")
+    k = F.col("doc_id") % 7
+    op = F.element_at(F.array(*map(F.lit, ["Inserted", "Changed", "Deleted", "Error", "Abort", "", "Inserted"])), (k + 1).cast("int"))
+    made = F.to_json(F.struct(op.alias("op"), F.when(k.isin(0, 1, 2, 6), F.col("doc_id").cast("string")).alias("id"), F.when(k < 2, F.col("text")).alias("string"), F.when(k == 3, F.col("source")).alias("message")))
+    lines = d.select(F.when(k == 5, F.concat(F.lit("no json "), "source")).otherwise(made).alias("value"))
+    return ndjson.parse(lines).select("op", "id", "string", "message", "valid")
 
 
 # ---- versions
@@ -481,14 +552,14 @@ def classify_operations(spark, sf):
 
 @query(f"WITH {X.STATES_SQL} SELECT 'common' AS part, doc_id FROM (SELECT doc_id FROM s2 INTERSECT SELECT doc_id FROM s3) UNION ALL SELECT 'removed', doc_id FROM (SELECT doc_id FROM s2 EXCEPT SELECT doc_id FROM s3) UNION ALL SELECT 'added', doc_id FROM (SELECT doc_id FROM s3 EXCEPT SELECT doc_id FROM s2)")
 def id_set_operations(spark, sf):
-    a, b = (s.select("doc_id") for s in _states(spark, sf))
-    part = lambda name, df: df.select(F.lit(name).alias("part"), "doc_id")
-    return part("common", a.intersect(b)).unionByName(part("removed", a.subtract(b))).unionByName(part("added", b.subtract(a)))
+    return versions.id_sets(*_states(spark, sf))
 
 
-@query(f"WITH {X.COMMITS_SQL} SELECT commit, branch, version::BIGINT AS version FROM commits")
+@query("SELECT concat('c-', doc_id, '/', source) AS commit, lang AS branch, doc_id AS version FROM documents")
 def list_commits(spark, sf):
-    return X.commits(spark).select("commit", "branch", "version")
+    """A commit for every document, read back from its tag name."""
+    made = X.table(spark, sf, "documents").select(F.concat(F.lit("c-"), "doc_id", F.lit("/"), "source").alias("commit"), F.col("lang").alias("branch"), F.col("doc_id").alias("version"))
+    return versions.list_commits(made.select(S.tag_name(F.col("commit")).alias("tag"), "branch", "version"))
 
 
 @query(f"WITH {X.COMMITS_SQL} SELECT branch, arg_max(commit, version * 1000 + length(commit)) AS commit, max(version)::BIGINT AS version FROM commits GROUP BY branch")
@@ -514,24 +585,32 @@ def dataset_statistics(spark, sf):
     return versions.statistics(live.withColumn("clustering_embedding", F.array(F.lit(0.0))), X.commits(spark))
 
 
-@query("SELECT 'untagged_version' AS problem, 'side' AS branch, 3::BIGINT AS version, NULL::VARCHAR AS detail UNION ALL SELECT 'repeated_commit', 'main', 2, 'c2'")
+@query("""WITH w AS (SELECT lang AS branch, doc_id AS version FROM documents), c AS (SELECT concat('c', doc_id) AS commit, lang AS branch, doc_id AS version FROM documents WHERE doc_id % 10 < 7 AND doc_id % 13 != 0),
+  all_c AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE version % 7 = 0), h AS (SELECT branch, max(version) AS head FROM all_c GROUP BY branch)
+  SELECT 'untagged_version' AS problem, w.branch, w.version, NULL::VARCHAR AS detail FROM w LEFT JOIN h USING (branch) WHERE head IS NULL OR w.version > head
+  UNION ALL SELECT 'orphan_commit', branch, version, commit FROM all_c WHERE branch NOT IN ('en', 'de', 'es', 'side')
+  UNION ALL SELECT 'repeated_commit', min(branch), min(version), commit FROM all_c GROUP BY commit HAVING count(*) > 1
+  UNION ALL SELECT 'missing_parent', 'side', 5, 'nowhere'""")
 def integrity_report(spark, sf):
-    chunks, tombs = X.commit_states(spark, sf)
-    commits = X.commits(spark).where("branch = 'main'")
-    commits = commits.unionByName(commits.where("commit = 'c2'"))
-    branches = spark.createDataFrame(X.BRANCHES, versions.BRANCHES)
-    return versions.integrity(chunks, tombs, commits, branches)
+    """A version for every document, a commit for most; one branch isn't known, one has no parent."""
+    d = X.table(spark, sf, "documents")
+    chunks = d.select(F.col("lang").alias("branch"), F.col("doc_id").alias("version"))
+    commits = d.where("doc_id % 10 < 7 and doc_id % 13 != 0").select(F.concat(F.lit("c"), "doc_id").alias("commit"), F.col("lang").alias("branch"), F.col("doc_id").alias("version"))
+    commits = commits.unionByName(commits.where("version % 7 = 0"))
+    branches = spark.createDataFrame([("en", None, None), ("de", None, None), ("es", None, None), ("side", "nowhere", 5)], versions.BRANCHES)
+    return versions.integrity(chunks, chunks.where("false"), commits, branches)
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x != '')) AS n FROM documents),
+  k AS (SELECT *, CASE WHEN n <= 512 THEN 1 ELSE CAST(ceil((n - 512) / 439.0) AS INTEGER) + 1 END AS k FROM w)
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(range(k))::INTEGER AS chunk_index, k::INTEGER AS chunk_count FROM k""")
 def streaming_ingest(spark, sf):
-    """All documents as NDJSON files through the stream, then the served snapshot."""
+    """All documents as NDJSON files through the stream, then the snapshot of its last commit."""
     from tessera.streaming import ingest
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared.removeprefix('file://')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-stream-")
+    root = X.shared_dir(spark, "stream")
     ops = X.table(spark, sf, "documents").select(F.lit("Inserted").alias("op"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("string"))
-    ndjson.write(ops, f"{root}/in")
+    ndjson.write(ops.repartition(20), f"{root}/in")
     store = versions.Store.domain(spark, f"{root}/store", "org", "db")
     ingest.start(spark, f"{root}/in", store, embed.HashingProvider(16), f"{root}/progress").awaitTermination()
-    return store.at("stream-0").select("doc_id", "chunk_index", "chunk_count")
+    return store.at(store.last_indexed("main")).select("doc_id", "chunk_index", "chunk_count")

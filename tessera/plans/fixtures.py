@@ -6,9 +6,14 @@ chunks with text.  Where an operator needs both, they are paired by number.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.text import Index
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,6 +77,29 @@ def probe(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return list(row[0])
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's checkpoint folder; a local one only on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"tessera-{name}-")
+
+
+_INDEXES: dict[tuple, str] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str, chunks=text_chunks) -> Index:
+    """The stored inverted index of a chunk relation, built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, chunks.__name__)
+    if key not in _INDEXES:
+        path = shared_dir(spark, "index")
+        Index.build(chunks(spark, sf_dir), path, buckets=16)
+        _INDEXES[key] = path
+    return Index(spark, _INDEXES[key])
+
+
 def bm25_sql(source: str, query: str, among: str = "true") -> str:
     """CTEs ending in ``scored`` (source's columns and score)."""
     return f"""
