@@ -56,23 +56,30 @@ def select_bit(x: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 class EliasFano:
     def __init__(self, part: dict[str, np.ndarray]) -> None:
-        self.low, self.words, self.sample, self.inner = part["low"], part["high"], part["sample"], part["inner"]
+        # plain views of the mapped arrays: their look-ups cost less
+        self.low, self.words, self.sample, self.inner = (np.asarray(part[k]).view(np.ndarray) for k in ("low", "high", "sample", "inner"))
         self.n, self.planes, self.buckets = (int(x) for x in part["meta"])
+        self.upto = self.inner.reshape(-1)
+        self.kind = np.uint8 if self.planes <= 1 else np.uint32 if self.planes <= 4 else np.uint64
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero."""
         block = np.searchsorted(self.sample, k, "right") - 1
         rest = k - self.sample[block]
-        upto = self.inner[block]
-        which = (upto <= rest[:, None]).sum(axis=1)
-        rest = rest - np.where(which > 0, upto[np.arange(len(k)), np.maximum(which, 1) - 1], 0)
+        # the eight comparisons of a block are eight bytes, counted as one word
+        upto = np.ascontiguousarray(self.inner.take(block, axis=0) <= rest.astype(np.uint16)[:, None])
+        which = np.bitwise_count(upto.view(np.uint64)[:, 0]).astype(np.int64)
         at = block * BLOCK + which
+        rest -= np.where(which > 0, self.upto.take(np.maximum(at - 1, 0)), 0)
         return at * 64 + select_bit(~self.words[at], rest)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for k in range(self.planes):
-            out |= self.low[k][i].astype(np.uint64) << np.uint64(8 * k)
+        """Low bytes of values i, in the least type that holds them."""
+        if not self.planes:
+            return np.zeros(len(i), self.kind)
+        out = self.low[0].take(i).astype(self.kind, copy=False)
+        for k in range(1, self.planes):
+            out |= self.low[k].take(i).astype(self.kind) << self.kind(8 * k)
         return out
 
     def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,20 +102,26 @@ class EliasFano:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = (x >> np.uint64(8 * self.planes)).astype(np.int64) if self.planes < 8 else np.zeros(len(x), np.int64)
         inside = high < self.buckets
-        low = x & np.uint64((1 << (8 * self.planes)) - 1)
+        low = (x & np.uint64((1 << (8 * self.planes)) - 1)).astype(self.kind)
         lo, end = self._bucket(np.minimum(high, self.buckets - 1))
         lo, end = np.where(inside, lo, self.n), np.where(inside, end, self.n)
-        hi = end.copy()
-        live = np.flatnonzero(lo < hi)
+        some = live = np.flatnonzero(lo < end)
+        a, b, want = lo[live], end[live], low[live]
         while len(live):
-            a, b, want = lo[live], hi[live], low[live]
             mid = (a + b) >> 1
             less = self._low(mid) < want
             a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
-            lo[live], hi[live] = a, b
-            live = live[a < b]
+            open_ = a < b
+            more = np.count_nonzero(open_)
+            if more < len(live):
+                done = np.flatnonzero(~open_)
+                lo[live[done]] = a[done]
+                if not more:
+                    break
+                left = np.flatnonzero(open_)
+                live, a, b, want = live[left], a[left], b[left], want[left]
         hit = np.zeros(len(x), bool)
-        some = np.flatnonzero(lo < end)
+        some = some[lo[some] < end[some]]
         hit[some] = self._low(lo[some]) == low[some]
         return lo, hit
 
@@ -122,11 +135,17 @@ class EliasFano:
         return np.where(hit, at, -1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        """Values at places i (for pointers): bisect of the bucket by place."""
+        """Values at places i (for pointers): the i-th set bit tells the high part."""
         i = np.asarray(i, np.int64)
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), self.buckets - 1, np.int64)
-        while (lo < hi).any():
-            mid = (lo + hi) >> 1
-            upto = self._zero(mid) - mid  # values in buckets 0 .. mid
-            lo, hi = np.where(upto <= i, mid + 1, lo), np.where(upto <= i, hi, mid)
-        return (lo.astype(np.uint64) << np.uint64(8 * self.planes)) | self._low(i)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        full = BLOCK * 64
+        before = np.arange(len(self.sample)) * full - self.sample  # ones before each block
+        block = np.searchsorted(before, i, "right") - 1
+        rest = i - before[block]
+        ones = np.arange(64, full + 1, 64) - self.inner[block].astype(np.int64)
+        which = (ones <= rest[:, None]).sum(axis=1)
+        rest -= np.where(which > 0, ones[np.arange(len(i)), np.maximum(which, 1) - 1], 0)
+        at = block * BLOCK + which
+        high = at * 64 + select_bit(self.words[at], rest) - i
+        return (high.astype(np.uint64) << np.uint64(8 * self.planes)) | self._low(i).astype(np.uint64)

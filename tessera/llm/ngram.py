@@ -50,7 +50,7 @@ SPLIT = 1_000_000
 MIN_WORD, MIN_TRIGRAM = 1, 1
 DISCOUNT = 0.75
 #: Words looked up at once.
-STEP = 500_000
+STEP = 1_000_000
 #: Characters of text counted at once.
 PIECE = 5_000_000
 _FLOOR = -23.0  # log of the least quantised value
@@ -150,7 +150,7 @@ def _unpack(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
 
 
 def _sum_sorted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
@@ -215,15 +215,20 @@ def shard_of(w1: np.ndarray, w2: np.ndarray, often: np.ndarray, shards: int) ->
 
 
 def _order(*columns: np.ndarray) -> np.ndarray:
-    """Lexicographic order, in one packed sort where the columns fit 64 bits."""
-    bits = [int(c.max(initial=0)).bit_length() for c in columns]
-    if sum(bits) > 63:
-        return np.lexsort(columns[::-1])
-    key = np.zeros(len(columns[0]), np.int64)
-    for c, b in zip(columns, bits):
-        key <<= b
-        key |= c
-    return np.argsort(key, kind="stable")
+    """Lexicographic order (of equal rows any), in one packed sort where the columns fit 63 bits."""
+    keys, width = [], 64
+    for c in columns[::-1]:
+        bits = int(c.max(initial=0)).bit_length()
+        if width + bits > 63:
+            keys.append(np.zeros(len(c), np.int64))
+            width = 0
+        keys[-1] |= c.astype(np.int64) << width
+        width += bits
+    order = np.argsort(keys[0])
+    for key in keys[1:]:  # a stable sort by few bits is a radix sort
+        key = key[order]
+        order = order[np.argsort(key.astype(np.uint16) if key.max(initial=0) < 1 << 16 else key, kind="stable")]
+    return order
 
 
 def _unique_rows(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -395,15 +400,17 @@ class Model:
         # in the order of the shards' keys: look-ups walk the arrays forward, and each is made once
         (w2, w1, w3), back, often = _distinct([w2, w1, w3], often)
         unigram = np.load(f"{self.folder}/unigram.npy", mmap_mode="r")
-        p = np.maximum(_VALUE[unigram[w3]], 1e-10)
-        to = (mix64(w2.astype(np.uint64)) % np.uint64(self.middle)).astype(np.int64)
+        (b2, b3), pair, _ = _distinct([w2, w3], w2)
+        p = np.maximum(_VALUE[unigram[b3]], 1e-10)
+        to = (mix64(b2.astype(np.uint64)) % np.uint64(self.middle)).astype(np.int64)
         for own in self._by(to):
             parts, ef = self._shard(f"bi{int(to[own[0]]):05d}", "mid bi")
-            mid = _find_runs(ef["mid"], w2[own])
+            mid = _find_runs(ef["mid"], b2[own])
             ok = np.flatnonzero(mid >= 0)
-            at = ef["bi"].find(mid[ok] * size + w3[own[ok]])
+            at = ef["bi"].find(mid[ok] * size + b3[own[ok]])
             a = np.where(at >= 0, _VALUE[parts["share"][np.maximum(at, 0)]], 0.0)
             p[own[ok]] = a + _VALUE[parts["left"][mid[ok]]] * p[own[ok]]
+        p = p[pair]
         to = shard_of(w1, w2, often, self.shards)
         for own in self._by(to):
             name = f"tri{int(to[own[0]]):05d}"
