@@ -4,16 +4,20 @@ All words and trigrams of all documents are counted into an interpolated
 Kneser-Ney model of order 3; nothing is pruned by default (``min_word`` and
 ``min_trigram`` of ``train`` fold rare ones into the unknown word or the shorter
 context).  The model is a set of shards in the shared folder, one per hash of a
-trigram's middle word; their number grows with the text.  A very frequent middle
-word, and the mark before a text, is split further by the first word, so no
-shard grows with one word.
+trigram's middle word; their number grows with the text.  The trigrams of a very
+frequent middle word are split further by the first word, the pairs that begin
+with a very frequent word (or the mark before a text) by the second, so no shard
+grows with one word.  The first words of all texts follow the same two marks:
+they are one context, and one shard.
 
 A shard is a trie in three memory-mapped levels.  Level 2 has the successors of
 each middle word, level 3a the contexts (middle, first), level 3b the words
 after each context; a word is stored there by its rank among the successors of
 the middle word, and each level is one increasing Elias-Fano sequence, so a
 search is a successor search relative to the context.  The discounted shares
-and back-off weights are quantised to 8 bits on a log scale.
+and back-off weights are quantised to 8 bits on a log scale.  A shard is one
+file, mapped without being held open: a worker needs no file descriptor per
+shard, and keeps at most ``MAPS`` of them mapped.
 
     p(w3 | w1 w2) = a3 + b3 (a2 + b2 p1)
 
@@ -27,13 +31,14 @@ very long texts are counted and scored whole; equal texts get equal scores; an e
 
 from __future__ import annotations
 
+import json
 import os
-import shutil
-from functools import cache
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +58,8 @@ DISCOUNT = 0.75
 STEP = 1_000_000
 #: Characters of text counted at once.
 PIECE = 5_000_000
+#: Files of each kind that a worker keeps mapped; Linux allows a process 65,530 maps.
+MAPS = 16_384
 _FLOOR = -23.0  # log of the least quantised value
 
 
@@ -74,24 +81,48 @@ def _path(uri: str) -> str:
 
 
 def _save(path: str, arrays: dict[str, np.ndarray]) -> int:
-    """Write arrays to a folder at once: a rerun of the task replaces it whole."""
+    """Write arrays to one file at once: a rerun of the task replaces it whole."""
     part = f"{path}.{os.getpid()}.{np.random.default_rng().integers(1 << 40)}"
-    os.makedirs(part)
-    for name, a in arrays.items():
-        np.save(f"{part}/{name}.npy", a)
-    try:
-        os.rename(part, path)
-    except OSError:  # another attempt has written the same
-        shutil.rmtree(part)
+    index = {}
+    with open(part, "wb") as f:
+        for name, a in arrays.items():
+            f.write(bytes(-f.tell() % 64))
+            index[name] = a.dtype.str, a.shape, f.tell()
+            f.write(np.ascontiguousarray(a).data)
+        last = json.dumps(index).encode()
+        f.write(last + len(last).to_bytes(8, "little"))
+    os.replace(part, path)
     return sum(a.nbytes for a in arrays.values())
 
 
 def _load(path: str) -> dict[str, np.ndarray]:
-    out = {}
-    for name in os.listdir(path):
-        full = f"{path}/{name}"
-        out[name[:-4]] = np.load(full, mmap_mode="r") if os.path.getsize(full) > 128 else np.load(full)
-    return out
+    """The arrays of a file, mapped; the file is closed, the map lives as long as they do."""
+    with pa.memory_map(path) as f:
+        raw = f.read_buffer()
+    end = raw.size - 8
+    start = end - int.from_bytes(raw[end:].to_pybytes(), "little")
+    index = json.loads(raw[start:end].to_pybytes())
+    return {name: np.ndarray(shape, kind, raw, at) for name, (kind, shape, at) in index.items()}
+
+
+class Shards:
+    """The files of a folder, mapped when first needed; those beyond ``MAPS`` are mapped anew for each use."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+        self.open: dict[str, tuple | None] = {}
+
+    def get(self, name: str, prefixes: str = "") -> tuple[dict[str, np.ndarray], dict[str, EliasFano]] | None:
+        """(arrays, sequences) of a file; None if there is no such file."""
+        if name in self.open:
+            return self.open[name]
+        path, found = f"{self.folder}/{name}", None
+        if os.path.exists(path):
+            parts = _load(path)
+            found = parts, {p: _sub(parts, p) for p in prefixes.split()}
+        if len(self.open) < MAPS:
+            self.open[name] = found
+        return found
 
 
 def _sub(parts: dict[str, np.ndarray], prefix: str) -> EliasFano:
@@ -175,26 +206,37 @@ class Vocabulary:
         self.offset = np.r_[0, np.cumsum(sizes)] + 1
         self.start = int(self.offset[-1])
         self.size = self.start + 1
-        self.parts = [_load(f"{folder}/vocab{s:04d}") if n else None for s, n in enumerate(sizes)]
+        self.sizes = sizes
+        self.shards = Shards(folder)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of every hash."""
         found, back = np.unique(hashes, return_inverse=True)
         out, count = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-        edge = np.searchsorted(found, _edges(len(self.parts)))
+        edge = np.searchsorted(found, _edges(len(self.sizes)))
         edge = np.r_[0, edge, len(found)]
-        for s, part in enumerate(self.parts):
+        for s, kept in enumerate(self.sizes):
             own = found[edge[s] : edge[s + 1]]
-            if part is None or not len(own):
+            if not kept or not len(own):
                 continue
+            part, _ = self.shards.get(f"vocab{s:04d}")
             at = np.minimum(np.searchsorted(part["hash"], own), len(part["hash"]) - 1)
             ok = part["hash"][at] == own
             out[edge[s] : edge[s + 1]] = np.where(ok, at + self.offset[s], 0)
             count[edge[s] : edge[s + 1]] = np.where(ok, part["count"][at], 0)
         return out[back], count[back]
 
+    def often(self, ids: np.ndarray, unknown: int, texts: int) -> np.ndarray:
+        """Times that words (ids in order) occur, the start mark once before each text."""
+        out = np.where(ids == 0, unknown, texts)
+        edge = np.searchsorted(ids, self.offset)
+        for s, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+            if b > a:
+                out[a:b] = self.shards.get(f"vocab{s:04d}")[0]["count"][ids[a:b] - self.offset[s]]
+        return out
+
 
-@cache
+@lru_cache(1)
 def _vocabulary(folder: str, sizes: tuple[int, ...]) -> Vocabulary:
     return Vocabulary(folder, sizes)
 
@@ -209,8 +251,9 @@ def trigrams(vocabulary: Vocabulary, hashes: np.ndarray, counts: np.ndarray, unk
     return shift(ids, 2, vocabulary.start), shift(ids, 1, vocabulary.start), ids, often
 
 
-def shard_of(w1: np.ndarray, w2: np.ndarray, often: np.ndarray, shards: int) -> np.ndarray:
-    part = mix64(w1.astype(np.uint64) + np.uint64(77)) % (often // SPLIT + 1).astype(np.uint64)
+def shard_of(w1: np.ndarray, w2: np.ndarray, often: np.ndarray, shards: int, split: int = SPLIT) -> np.ndarray:
+    """Shards by w2; where that occurs ``split`` times and more, by w1 too."""
+    part = mix64(w1.astype(np.uint64) + np.uint64(77)) % (often // split + 1).astype(np.uint64)
     return (mix64(w2.astype(np.uint64) * np.uint64(1009) + part) % np.uint64(shards)).astype(np.int64)
 
 
@@ -242,13 +285,13 @@ def _unique_rows(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndar
     return [c[first] for c in columns], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n
 
 
-def _count_trigrams(folder: str, sizes: tuple[int, ...], shards: int, unknown: int, texts: int):
+def _count_trigrams(folder: str, sizes: tuple[int, ...], shards: int, unknown: int, texts: int, split: int):
     def run(batches):
         vocabulary = _vocabulary(folder, sizes)
         for batch in batches:
             for part in _pieces(batch["text"].tolist()):
                 w1, w2, w3, often = trigrams(vocabulary, *words(part), unknown, texts)
-                shard = shard_of(w1, w2, often, shards)
+                shard = shard_of(w1, w2, often, shards, split)
                 (shard, w2, w1, w3), n = _unique_rows([shard, w2, w1, w3], np.ones(len(w1), np.int64))
                 cut = np.searchsorted(shard, np.arange(shards + 1))
                 rows = []
@@ -288,7 +331,7 @@ def _group_starts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
 
 
-def _build_trigrams(folder: str, size: int, middle_shards: int, min_trigram: int):
+def _build_trigrams(folder: str, size: int, middle_shards: int, min_trigram: int, often, split: int):
     """One shard: write its trie; give its bigram counts on to the bigram shards."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -335,7 +378,7 @@ def _build_trigrams(folder: str, size: int, middle_shards: int, min_trigram: int
             "widest": np.array([widest]),
         }
         kb = _save(f"{folder}/tri{shard:05d}", arrays)
-        to = (mix64(b2.astype(np.uint64)) % np.uint64(middle_shards)).astype(np.int64)
+        to = shard_of(b3, b2, often(b2.astype(np.int64)), middle_shards, split)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(middle_shards + 1))
         rows = []
@@ -348,20 +391,31 @@ def _build_trigrams(folder: str, size: int, middle_shards: int, min_trigram: int
     return run
 
 
-def _build_bigrams(folder: str, size: int):
-    """One bigram shard: shares by different words before; counts of words after others go on."""
+def _build_bigrams(folder: str, size: int, often, split: int):
+    """One bigram shard: shares by different words before; counts of words after others go on.
+
+    Shares of a word whose pairs are split are of this shard's pairs; ``_sum_split`` gives their scale.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        parts = [[x.astype(np.int64) for x in _unpack(b, m, *[np.uint32] * 3)] for b, m in zip(group["blob"], group["n"])]
-        w2, w3, before = (np.concatenate(c) for c in zip(*parts))
-        (b2, b3), before = _unique_rows([w2, w3], before)
+        parts = [_unpack(b, m, *[np.uint32] * 3) for b, m in zip(group["blob"], group["n"])]
+        del group
+        rows = [np.concatenate(c) for c in zip(*parts)]
+        del parts
+        rows, before = _unique_rows(rows[:2], rows[2])
+        b2, b3 = (c.astype(np.int64) for c in rows)
+        del rows
         start = _group_starts(b2)
         of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(b2)]))
         total = np.add.reduceat(before, start)
         share = (before - DISCOUNT) / total[of]
         mids = b2[start]
+        hot = often(mids) >= split
         arrays = {
+            "hot": mids[hot],
+            "hot_total": total[hot],
+            "hot_kinds": np.diff(np.r_[start, len(b2)])[hot],
             **_ef("mid", mids.astype(np.uint64), size),
             **_ef("bi", (of * size + b3).astype(np.uint64), max(1, len(mids) * size)),
             "share": quantise(share),
@@ -374,23 +428,37 @@ def _build_bigrams(folder: str, size: int):
     return run
 
 
+def _sum_split(folder: str, middle: int) -> None:
+    """Write, for the words whose pairs are split, each shard's share of a word's pairs and the word's back-off weight."""
+    held = []
+    for shard in range(middle):
+        path = f"{folder}/bi{shard:05d}"
+        if os.path.exists(path):
+            parts = _load(path)
+            held.append([parts["hot"], np.full(len(parts["hot"]), shard), parts["hot_total"], parts["hot_kinds"]])
+    mid, shard, total, kinds = (np.concatenate(c) for c in zip(*held))
+    word, of = np.unique(mid, return_inverse=True)
+    totals = np.bincount(of, total, len(word))
+    order = np.lexsort([shard, mid])
+    arrays = {
+        "word": word,
+        "left": DISCOUNT * np.bincount(of, kinds, len(word)) / totals,
+        "key": (mid * middle + shard)[order],
+        "scale": (total / totals[of])[order],
+    }
+    _save(f"{folder}/split", arrays)
+
+
 class Model:
     """The mapped shards, opened when first needed."""
 
-    def __init__(self, folder: str, sizes: tuple[int, ...], shards: int, middle: int, unknown: int, texts: int, kinds: int) -> None:
-        self.args = (folder, sizes, shards, middle, unknown, texts, kinds)
-        self.folder, self.sizes, self.shards, self.middle, self.unknown, self.texts, self.kinds = self.args
-        self.open: dict[str, tuple] = {}
+    def __init__(self, folder: str, sizes: tuple[int, ...], shards: int, middle: int, unknown: int, texts: int, kinds: int, split: int) -> None:
+        self.args = (folder, sizes, shards, middle, unknown, texts, kinds, split)
+        self.folder, self.sizes, self.shards, self.middle, self.unknown, self.texts, self.kinds, self.split = self.args
+        self.files = Shards(folder)
 
     def __reduce__(self):
-        return Model, self.args
-
-    def _shard(self, name: str, prefixes: str):
-        if name not in self.open:
-            path = f"{self.folder}/{name}"
-            parts = _load(path)
-            self.open[name] = parts, {p: _sub(parts, p) for p in prefixes.split()}
-        return self.open[name]
+        return _model, self.args
 
     def probabilities(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """p of every word given the two before it in its text."""
@@ -400,23 +468,35 @@ class Model:
         # in the order of the shards' keys: look-ups walk the arrays forward, and each is made once
         (w2, w1, w3), back, often = _distinct([w2, w1, w3], often)
         unigram = np.load(f"{self.folder}/unigram.npy", mmap_mode="r")
-        (b2, b3), pair, _ = _distinct([w2, w3], w2)
-        p = np.maximum(_VALUE[unigram[b3]], 1e-10)
-        to = (mix64(b2.astype(np.uint64)) % np.uint64(self.middle)).astype(np.int64)
+        (b2, b3), pair, begins = _distinct([w2, w3], often)
+        to = shard_of(b3, b2, begins, self.middle, self.split)
+        share, left = np.zeros(len(b2)), np.ones(len(b2))
         for own in self._by(to):
-            parts, ef = self._shard(f"bi{int(to[own[0]]):05d}", "mid bi")
+            found = self.files.get(f"bi{int(to[own[0]]):05d}", "mid bi")
+            if found is None:
+                continue
+            parts, ef = found
             mid = _find_runs(ef["mid"], b2[own])
-            ok = np.flatnonzero(mid >= 0)
-            at = ef["bi"].find(mid[ok] * size + b3[own[ok]])
-            a = np.where(at >= 0, _VALUE[parts["share"][np.maximum(at, 0)]], 0.0)
-            p[own[ok]] = a + _VALUE[parts["left"][mid[ok]]] * p[own[ok]]
+            own, mid = own[mid >= 0], mid[mid >= 0]
+            at = ef["bi"].find(mid * size + b3[own])
+            share[own] = np.where(at >= 0, _VALUE[parts["share"][np.maximum(at, 0)]], 0.0)
+            left[own] = _VALUE[parts["left"][mid]]
+        hot, _ = self.files.get("split")
+        own = np.flatnonzero(begins >= self.split)
+        own = own[np.isin(b2[own], hot["word"])]
+        if len(own):
+            left[own] = hot["left"][np.searchsorted(hot["word"], b2[own])]
+            # a shard without pairs of the word has no scale, and found no share
+            at = np.minimum(np.searchsorted(hot["key"], b2[own] * self.middle + to[own]), len(hot["key"]) - 1)
+            share[own] *= hot["scale"][at]
+        p = share + left * np.maximum(_VALUE[unigram[b3]], 1e-10)
         p = p[pair]
-        to = shard_of(w1, w2, often, self.shards)
+        to = shard_of(w1, w2, often, self.shards, self.split)
         for own in self._by(to):
-            name = f"tri{int(to[own[0]]):05d}"
-            if name not in self.open and not os.path.isdir(f"{self.folder}/{name}"):
+            found = self.files.get(f"tri{int(to[own[0]]):05d}", "mid ptr succ ctx tri")
+            if found is None:
                 continue
-            parts, ef = self._shard(name, "mid ptr succ ctx tri")
+            parts, ef = found
             mid = _find_runs(ef["mid"], w2[own])
             own, mid = own[mid >= 0], mid[mid >= 0]
             ctx = _find_runs(ef["ctx"], mid * size + w1[own])
@@ -442,6 +522,12 @@ class Model:
             yield order[a:b]
 
 
+@lru_cache(1)
+def _model(*args) -> Model:
+    """A worker's tasks share the model, and so its mapped files."""
+    return Model(*args)
+
+
 def train(docs: DataFrame, folder: str | None = None, min_word: int = MIN_WORD, min_trigram: int = MIN_TRIGRAM) -> Model | None:
     """Count all documents and write the trie; None if there are no words."""
     uri = folder or shared_dir(docs.sparkSession)
@@ -461,12 +547,18 @@ def train(docs: DataFrame, folder: str | None = None, min_word: int = MIN_WORD,
     unknown = max(1, tokens // 50)
     shards = max(1, -(-tokens // SHARD_TOKENS))
     middle = max(1, -(-shards // 4))
-    found = in_batches(texts, _count_trigrams(folder, sizes, shards, unknown, n_texts), blob)
-    pairs = found.groupBy("shard").applyInPandas(_build_trigrams(folder, size, middle, min_trigram), f"{blob}, bytes long")
-    ends = pairs.groupBy("shard").applyInPandas(_build_bigrams(folder, size), "word long, n long")
+    split = SPLIT
+
+    def often(ids: np.ndarray) -> np.ndarray:
+        return _vocabulary(folder, sizes).often(ids, unknown, n_texts)
+
+    found = in_batches(texts, _count_trigrams(folder, sizes, shards, unknown, n_texts, split), blob)
+    pairs = found.groupBy("shard").applyInPandas(_build_trigrams(folder, size, middle, min_trigram, often, split), f"{blob}, bytes long")
+    ends = pairs.groupBy("shard").applyInPandas(_build_bigrams(folder, size, often, split), "word long, n long")
     per_word = ends.groupBy("word").agg(F.sum("n").alias("n"))
     per_word = written(per_word, f"{uri}/continuations")
     total, kinds = per_word.agg(F.sum("n"), F.count("*")).first()
+    _sum_split(folder, middle)
     # one byte per word: the array is filled range by range, never held whole
     share = np.lib.format.open_memmap(f"{folder}/unigram.npy", "w+", np.uint8, (size,))
     floor = DISCOUNT * kinds / total / size
@@ -482,7 +574,7 @@ def train(docs: DataFrame, folder: str | None = None, min_word: int = MIN_WORD,
         out.flush()
 
     per_word.mapInPandas(fill, "done long").agg(F.sum("done")).collect()
-    return Model(folder, sizes, shards, middle, unknown, n_texts, int(kinds))
+    return Model(folder, sizes, shards, middle, unknown, n_texts, int(kinds), split)
 
 
 OUT = "doc_id long, n_words long, log10_prob_per_word double, perplexity double, log10_prob double"

@@ -1,3 +1,5 @@
+import os
+import resource
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -102,6 +104,61 @@ def test_shards_split_frequent_middle_words():
     assert len(np.unique(ngram.shard_of(w1, w2, np.full(1000, 40 * ngram.SPLIT), 64))) > 10
 
 
+def test_many_shards_with_few_file_descriptors(tmp_path, monkeypatch):
+    """A worker has a file of each of thousands of shards open at 6 GB; its descriptors don't grow with them."""
+    name = "mid ptr"
+    for i in range(200):
+        v = np.arange(i + 5, dtype=np.uint64) * np.uint64(3)
+        ngram._save(f"{tmp_path}/s{i}", {**ngram._ef("mid", v, 10_000), **ngram._ef("ptr", v, 10_000), "share": np.arange(i % 3, dtype=np.uint8)})
+    monkeypatch.setattr(ngram, "MAPS", 150)
+    shards = ngram.Shards(str(tmp_path))
+    used = len(os.listdir("/proc/self/fd"))
+    held = [shards.get(f"s{i}", name) for i in range(200)]
+    assert len(os.listdir("/proc/self/fd")) <= used + 5
+    assert len(shards.open) == 150 and shards.get("none") is None
+    for i, (parts, ef) in enumerate(held):
+        assert parts["share"].tolist() == list(range(i % 3)) and parts["share"].dtype == np.uint8
+        assert ef["ptr"].find(np.array([0, 3, 4])).tolist() == [0, 1, -1]
+        assert ef["mid"].access(np.arange(i + 5)).tolist() == [3 * k for k in range(i + 5)]
+
+
+def test_scores_with_thousands_of_open_shards(spark, monkeypatch):
+    """More shards than a process may have files open score as few shards do."""
+    docs = spark.createDataFrame(corpus(40, 3), "doc_id long, text string")
+    few = {r.doc_id: r.log10_prob for r in ngram.score(docs).collect()}
+    monkeypatch.setattr(ngram, "SHARD_TOKENS", 2)
+    model = ngram.train(docs)
+    assert model.shards > 500
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    batch = docs.toPandas()
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 100, hard))
+    try:
+        hashes, counts = ngram.words(batch["text"].tolist())
+        logs = np.log10(model.probabilities(hashes, counts))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    got = np.bincount(np.repeat(np.arange(len(counts)), counts), logs)
+    assert got == pytest.approx([few[i] for i in batch["doc_id"]])
+
+
+def test_split_pairs_agree_with_dictionaries(spark, monkeypatch):
+    """Pairs that begin with a frequent word, or the mark before a text, lie in several shards."""
+    monkeypatch.setattr(ngram, "SHARD_TOKENS", 100)
+    monkeypatch.setattr(ngram, "SPLIT", 20)
+    rows = corpus(60, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = ngram.train(docs)
+    split = ngram._load(f"{model.folder}/split")
+    assert len(split["key"]) > len(split["word"]) > 10
+    assert sum(model.sizes) + 1 in split["word"]  # the mark before a text
+    p = slow_model([t for _, t in rows])
+    got = {r.doc_id: r.log10_prob for r in ngram.score(docs, model).collect()}
+    for i, t in rows:
+        w = ["<s>", "<s>", *toks(t)]
+        want = [np.log10(p(*w[k : k + 3])) for k in range(len(w) - 2)]
+        assert got[i] == pytest.approx(sum(want), abs=0.03 * len(want))
+
+
 def test_packed_and_plain_order_agree():
     rng = np.random.default_rng(3)
     small = [rng.integers(0, 50, 500) for _ in range(3)]
