@@ -14,12 +14,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators.neighbours import grid_side, merge_chunks
 from tessera.operators.neighbours import knn_join as exact_join
-from tessera.operators.neighbours import merge_chunks
 
 #: Rows that the centroids are fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -103,7 +102,7 @@ def enough_probes(probes: DataFrame, indexed: DataFrame, centroids: np.ndarray,
     # the sample is fixed by its rows, so every use of it is the same
     taken = probes.sparkSession.createDataFrame(own, taken.schema)
     lists = indexed.select(F.col("doc_id").alias("nbr_id"), F.col("chunk_index").alias("nbr_chunk"), "list_id")
-    found = exact_join(taken, indexed, k, threshold).join(lists, ["nbr_id", "nbr_chunk"]).select("src_id", "src_chunk", "list_id").collect()
+    found = exact_join(taken, indexed, k, threshold, shape=(1, grid_side(indexed) ** 2)).join(lists, ["nbr_id", "nbr_chunk"]).select("src_id", "src_chunk", "list_id").collect()
     if not found:
         return len(centroids)
     m = V.unit_rows(np.array([np.asarray(r.embedding, np.float64) for r in own]))
@@ -114,30 +113,19 @@ def enough_probes(probes: DataFrame, indexed: DataFrame, centroids: np.ndarray,
 
 
 def knn_join(probes: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, threshold: float | None = None, nprobes: int | None = None) -> DataFrame:
-    """Approximate kNN join: an equi-join on probed lists, then exact distances.
+    """Approximate kNN join: on the grid of the exact one, a cell's candidates list by list.
 
-    Without ``nprobes`` their number is that of ``enough_probes``.
+    A probe is multiplied with its nearest ``nprobes`` lists only.  Its vector is
+    shuffled once for each group of candidates, not for each list.  Without ``nprobes`` their number is that of ``enough_probes``.
     """
     if nprobes is None:
         nprobes = enough_probes(probes, indexed, centroids, k, threshold)
 
-    @F.pandas_udf("array<int>")
-    def probed(v: pd.Series) -> pd.Series:
-        m = V.unit_rows(np.array([np.asarray(x, np.float64) for x in v]).reshape(len(v), -1))
-        return pd.Series(list(np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :nprobes].astype("int32"))) if len(v) else pd.Series([], dtype=object)
-
-    left = probes.select(F.col("doc_id").alias("src_id"), F.col("chunk_index").alias("src_chunk"), F.col("embedding").alias("_p"), F.explode(probed("embedding")).alias("list_id"))
-    right = indexed.select(F.col("doc_id").alias("nbr_id"), F.col("chunk_index").alias("nbr_chunk"), F.col("embedding").alias("_c"), "list_id")
+    def probed(m: np.ndarray) -> np.ndarray:
+        out = np.ones((len(m), len(centroids)), bool)
+        if nprobes < len(centroids):
+            out[:] = False
+            np.put_along_axis(out, np.argpartition(-(m @ centroids.T), nprobes - 1, axis=1)[:, :nprobes], True, axis=1)
+        return out
 
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (V.unit_rows(np.array([np.asarray(v, np.float64) for v in s]).reshape(len(s), -1)) for s in (a, b))
-        return pd.Series(np.round(np.clip((1 - (x * y).sum(axis=1)) / 2, 0, 1), V.DECIMALS))
-
-    found = left.join(right, "list_id").where("src_id != nbr_id").withColumn("distance", distance("_p", "_c"))
-    if threshold is not None:
-        found = found.where(F.col("distance") <= threshold)
-    w = W.partitionBy("src_id", "src_chunk").orderBy("distance", "nbr_id", "nbr_chunk")
-    ranked = found.groupBy("src_id", "src_chunk", "nbr_id").agg(F.min(F.struct("distance", "nbr_chunk")).alias("b"))
-    ranked = ranked.select("src_id", "src_chunk", "nbr_id", F.col("b.nbr_chunk").alias("nbr_chunk"), F.col("b.distance").alias("distance"))
-    return merge_chunks(ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), k)
+    return merge_chunks(exact_join(probes, indexed, k, threshold, probed=probed), k)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import vectors as V
+from tessera.operators import ivf
 from tessera.operators import neighbours as N
 
 SCHEMA = "doc_id string, doc_type string, chunk_index int, embedding array<float>, clustering_embedding array<float>, content string"
@@ -61,3 +62,25 @@ def test_equal_and_zero_vectors_among_candidates(spark, per_document):
     else:
         assert got["d000", 0] == [("d001", 0, 0.0), ("d001", 1, 0.0), ("d001", 2, 0.0), ("d002", 0, 0.0)]
     assert N.knn_join(c, c, 4, 0.0, per_document).where("src_id = 'd100' or distance > 0").isEmpty()
+
+
+def test_ivf_join_shuffles_a_vector_by_groups_not_by_lists(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(240, 6))
+    c = frame(spark, m)
+    centroids = ivf.train(c, 16)
+    index = ivf.assign(c, centroids)
+    found = ivf.knn_join(c, index, centroids, 4, nprobes=5)
+    assert "Join" not in plan(found)
+    u = V.unit_rows(m.astype(np.float32).astype(float))
+    s = u @ centroids.T
+    wanted = np.zeros((240, 16), bool)
+    np.put_along_axis(wanted, np.argsort(-s, axis=1)[:, :5], True, axis=1)
+    want = {}
+    for (src, _), near in brute(m, 3, 4, wanted[:, s.argmax(axis=1)]).items():
+        for nbr, d in near:
+            want.setdefault(src, {})[nbr] = min(d, want.get(src, {}).get(nbr, 9))
+    got = {}
+    for r in found.orderBy("src_id", "rank").collect():
+        got.setdefault(r.src_id, []).append((r.nbr_id, pytest.approx(r.distance, abs=2e-9)))
+    assert {k: sorted(v.items(), key=lambda x: (x[1], x[0]))[:4] for k, v in want.items()} == got
