@@ -26,12 +26,13 @@ def _postings(chunks: DataFrame, text: str, *keys: str) -> DataFrame:
 
     Rows that repeat a key (none is enforced) have postings of their own.
     """
-    spelt = F.array_sort(tokens(F.col(text)))
+    spelt = F.sort_array(tokens(F.col(text)))
     # explode_outer: an inner explode would split the text once more to filter empty arrays
     split = chunks.select(*keys, F.explode_outer(F.array(spelt)).alias("t"))
     split = split.select(*keys, "t", F.size("t").alias("len"), F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)).alias("_at"))
-    first = F.filter("_at", lambda i: i.isNotNull())
-    nth = F.transform(first, lambda i, n: F.struct(F.get("t", i).alias("token"), (F.coalesce(F.get(first, n + 1), F.col("len")) - i).cast("long").alias("tf")))
+    # a column of its own: inside the next lambda it would be made again for every token
+    split = split.select(*keys, "t", "len", F.filter("_at", lambda i: i.isNotNull()).alias("_first"))
+    nth = F.transform("_first", lambda i, n: F.struct(F.get("t", i).alias("token"), (F.coalesce(F.get("_first", n + 1), F.col("len")) - i).cast("long").alias("tf")))
     rows = split.select(*keys, "len", F.explode_outer(nth).alias("p")).where("p is not null")
     return rows.select(*keys, F.col("p.token").alias("token"), F.col("p.tf").alias("tf"), "len")
 
@@ -105,11 +106,10 @@ class Index:
     def _write(chunks: DataFrame, path: str, text: str, buckets: int, mode: str) -> None:
         keys = ["doc_id", "doc_type", "chunk_index"]
         rows = _postings(chunks, text, *keys).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-        # a frequent token's postings go to many tasks: the salt is part of the exchange, not of the layout
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(8))
-        rows.repartition("bucket", salt).sortWithinPartitions("bucket", "token").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+        # each task sorts the postings of its own chunks, so none is shuffled and no token is a task's alone
+        rows.sortWithinPartitions("bucket", "token").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
         length = chunks.select(F.explode_outer(F.array(F.size(tokens(F.col(text))))).alias("len"))
-        one = length.agg(F.count("*").alias("n"), F.sum("len").alias("tokens")).withColumn("buckets", F.lit(buckets))
+        one = length.agg(F.count("*").alias("n"), F.count("len").alias("texts"), F.sum("len").alias("tokens")).withColumn("buckets", F.lit(buckets))
         one.coalesce(1).write.mode(mode).parquet(f"{path}/statistics")
 
     def postings(self, terms: list[str]) -> DataFrame:
@@ -127,7 +127,7 @@ class Index:
         rows = self.postings(terms)
         # one row of corpus statistics, one of document frequency for each of the query's tokens
         df = rows.groupBy("token").agg(F.count("*").alias("df"))
-        stats = self.spark.read.parquet(f"{self.path}/statistics").agg(F.sum("n").alias("_n"), (F.sum("tokens") / F.sum("n")).alias("_avg"))
+        stats = self.spark.read.parquet(f"{self.path}/statistics").agg(F.sum("n").alias("_n"), (F.sum("tokens") / F.sum("texts")).alias("_avg"))
         scored = population(rows, types, ids).join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))
         tf = F.col("tf").cast("double")
         idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -1,11 +1,15 @@
 """Steps whose work or memory grew faster than their input."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from tessera.functions import vectors as V
 from tessera.operators import ivf
 from tessera.operators import neighbours as N
+from tessera.operators import text as T
 
 SCHEMA = "doc_id string, doc_type string, chunk_index int, embedding array<float>, clustering_embedding array<float>, content string"
 
@@ -84,3 +88,35 @@ def test_ivf_join_shuffles_a_vector_by_groups_not_by_lists(spark):
     for r in found.orderBy("src_id", "rank").collect():
         got.setdefault(r.src_id, []).append((r.nbr_id, pytest.approx(r.distance, abs=2e-9)))
     assert {k: sorted(v.items(), key=lambda x: (x[1], x[0]))[:4] for k, v in want.items()} == got
+
+
+def seconds(df):
+    df.write.format("noop").mode("overwrite").save()
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def test_postings_of_a_long_text_take_time_in_proportion(spark):
+    def texts(words):
+        own = " ".join(f"w{(7 * i) % words} of" for i in range(words))
+        return spark.createDataFrame([("a", 0, own)] * 2, "doc_id string, chunk_index int, content string").cache()
+
+    got = {r.token: (r.tf, r.len) for r in T.postings(texts(3000).limit(1)).collect()}
+    assert got == {f"w{i}": (1, 6000) for i in range(3000)} | {"of": (3000, 6000)}
+    assert seconds(T.postings(texts(24_000))) < 8 * seconds(T.postings(texts(6000))) + 1
+
+
+def test_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    seen, whole = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **k):
+        if path.endswith("/postings"):
+            seen.append(plan(self._df))
+        return whole(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    docs = spark.createDataFrame([(f"d{i}", "T", 0, f"the w{i % 5}") for i in range(40)] + [("e", "T", 0, ""), ("n", "T", 0, None)], "doc_id string, doc_type string, chunk_index int, content string")
+    index = T.Index.build(docs, str(tmp_path / "index"), buckets=4)
+    assert len(seen) == 1 and "Exchange" not in seen[0]
+    assert {(r.doc_id, r.score) for r in index.bm25("the w1").collect()} == {(r.doc_id, r.score) for r in T.bm25(docs, "the w1").collect()}
