@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.functions.strings import task_prefix
+from tessera.functions.strings import cache_key, task_prefix
 from tessera.operators import chunks as C
 from tessera.operators import text as T
-from tessera.operators.embed import Provider, embed, isolated
+from tessera.operators.embed import Provider, embed, isolated, vectors
 
 RRF_K = 60
 OVERFETCH = 3
@@ -186,16 +186,44 @@ def compare_texts(pairs: DataFrame, left: str, right: str, provider: Provider, r
 
     Null on either side, or a text that the provider refuses, gives null.
     """
+    roles = _compare_roles(role)
+    equal, apart = pairs.where(F.col(left) == F.col(right)).withColumn("distance", F.lit(0.0)), pairs.where(F.col(left) != F.col(right))
+    unknown = pairs.where(F.col(left).isNull() | F.col(right).isNull()).withColumn("distance", F.lit(None).cast("double"))
+    own = apart
+    for side, text, as_role in (("_l", left, roles[0]), ("_r", right, roles[1])):
+        made = vectors(apart.select(F.col(text).alias("content")), provider, as_role)
+        # joined by the key, so texts that nobody asks for stay behind
+        key = cache_key(F.lit(provider.model), F.concat(F.lit(task_prefix(provider.model, as_role)), F.col(text)))
+        own = own.withColumn(f"{side}k", key).join(made.select(F.col("cache_key").alias(f"{side}k"), F.col("vector").alias(f"{side}v")), f"{side}k", "left")
+    own = own.withColumn("distance", _between("_lv", "_rv")).select(*pairs.columns, "distance")
+    return own.unionByName(equal).unionByName(unknown)
+
+
+def compare_documents(docs: DataFrame, pairs: DataFrame, provider: Provider, role: str | None = None) -> DataFrame:
+    """``distance`` of the texts (doc_id, content) of each pair (left_id, right_id), as ``compare_texts`` has it.
+
+    Every text is hashed and embedded once; pairs meet hashes and vectors, no text.
+    A pair with an id that docs don't have is left out.
+    """
+    roles = _compare_roles(role)
+    rows = docs.select("doc_id", "content", F.sha2("content", 256).alias("_h"))
+    made = {r: embed(rows, provider, r).select("doc_id", "_h", "vector") for r in dict.fromkeys(roles)}
+    own = pairs
+    for side, as_role in (("left", roles[0]), ("right", roles[1])):
+        own = own.join(made[as_role].toDF(f"{side}_id", f"_{side}_h", f"_{side}_v"), f"{side}_id")
+    same = F.col("_left_h") == F.col("_right_h")
+    return own.withColumn("distance", F.when(same, F.lit(0.0)).when(~same, _between("_left_v", "_right_v"))).select(*pairs.columns, "distance")
+
+
+def _compare_roles(role: str | None) -> tuple[str, str]:
     if role not in COMPARE_ROLES:
         raise InvalidQuery(f"role must be one of {', '.join(r for r in COMPARE_ROLES if r)}")
-    own = pairs
-    apart = own.where(F.col(left) != F.col(right))
-    for side, text, as_role in (("_l", left, COMPARE_ROLES[role][0]), ("_r", right, COMPARE_ROLES[role][1])):
-        texts = apart.select(F.col(text).alias("content")).distinct()
-        made = embed(texts, provider, as_role).select(F.col("content").alias(f"{side}t"), F.col("vector").alias(f"{side}v"))
-        own = own.join(made, F.col(text) == F.col(f"{side}t"), "left").drop(f"{side}t")
-    d = F.when(F.col("_lv").isNotNull() & F.col("_rv").isNotNull(), V.cosine_distance(F.col("_lv"), F.col("_rv")))
-    return own.withColumn("distance", F.when(F.col(left) == F.col(right), F.lit(0.0)).otherwise(d)).drop("_lv", "_rv")
+    return COMPARE_ROLES[role]
+
+
+def _between(left: str, right: str) -> Column:
+    """Distance of two vectors, null where one is."""
+    return F.when(F.col(left).isNotNull() & F.col(right).isNotNull(), V.cosine_distance(F.col(left), F.col(right)))
 
 
 # ---- typeahead

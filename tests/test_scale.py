@@ -2,14 +2,16 @@
 
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import DataFrameWriter
 
 from tessera.functions import vectors as V
-from tessera.operators import ivf
+from tessera.operators import embed, ivf, search
 from tessera.operators import neighbours as N
 from tessera.operators import text as T
+from tessera.plans import catalog
 
 SCHEMA = "doc_id string, doc_type string, chunk_index int, embedding array<float>, clustering_embedding array<float>, content string"
 
@@ -120,3 +122,29 @@ def test_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
     index = T.Index.build(docs, str(tmp_path / "index"), buckets=4)
     assert len(seen) == 1 and "Exchange" not in seen[0]
     assert {(r.doc_id, r.score) for r in index.bm25("the w1").collect()} == {(r.doc_id, r.score) for r in T.bm25(docs, "the w1").collect()}
+
+
+def test_pairs_of_equal_texts_carry_no_text(spark, tmp_path):
+    text = "the same long text " * 50
+    rows = [(i, text if i % 3 else f"text {i} {'aeio' * i}", "en", "web", 1) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.QUERIES["compare_texts"](spark, str(tmp_path))
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("text#" in line or " a#" in line or "content#" in line for line in joins)
+    assert "Distinct" not in out._jdf.queryExecution().analyzed().toString()
+    got = sorted(tuple(r) for r in out.collect())
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(catalog.ORACLE_SQL["compare_texts"]).fetchall())
+
+
+def test_compare_by_document_is_compare_by_text(spark):
+    p = embed.HashingProvider(16)
+    texts = {"a": "red apples", "b": "blue sea", "c": "red apples", "n": None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, content string")
+    pairs = [(x, y) for x in texts for y in texts if x != y]
+    by_id = search.compare_documents(docs, spark.createDataFrame([*pairs, ("a", "gone")], "left_id string, right_id string"), p)
+    by_text = search.compare_texts(spark.createDataFrame([(x, y, texts[x], texts[y]) for x, y in pairs], "left_id string, right_id string, x string, y string"), "x", "y", p)
+    got = {(r.left_id, r.right_id): r.distance for r in by_id.collect()}
+    assert len(got) == 12 and got == {(r.left_id, r.right_id): r.distance for r in by_text.collect()}
+    assert got["a", "c"] == 0 and got["a", "b"] > 0 and got["a", "n"] is None and got["n", "b"] is None
