@@ -5,10 +5,11 @@ import time
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import DataFrameWriter
 
 from tessera.functions import vectors as V
-from tessera.operators import embed, ivf, search
+from tessera.operators import chunking, embed, ingest, ivf, search
 from tessera.operators import neighbours as N
 from tessera.operators import text as T
 from tessera.plans import catalog
@@ -148,3 +149,34 @@ def test_compare_by_document_is_compare_by_text(spark):
     got = {(r.left_id, r.right_id): r.distance for r in by_id.collect()}
     assert len(got) == 12 and got == {(r.left_id, r.right_id): r.distance for r in by_text.collect()}
     assert got["a", "c"] == 0 and got["a", "b"] > 0 and got["a", "n"] is None and got["n", "b"] is None
+
+
+def test_hashing_provider_hashes_a_known_triple_once(monkeypatch):
+    def plain(text, dim):
+        row, low = np.zeros(dim), text.lower()
+        for gram in [*low.split(), *(low[i : i + 3] for i in range(len(low) - 2))]:
+            h = xxhash.xxh3_64_intdigest(gram)
+            row[h % dim] += 1.0 if h >> 63 else -1.0
+        n = np.sqrt((row * row).sum())
+        return (row / n if n else row).astype(np.float32).tolist()
+
+    texts = ["Some plain words, some plain words", "Straße ÀÉ ÿ", "Много слов и 漢字 и 😀😀😀", "", "ab", "İstanbul \x00\x00\x00 x"]
+    for dim in (16, 37):
+        assert embed.HashingProvider(dim).embed(texts) == [plain(t, dim) for t in texts]
+    calls, whole = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(embed.xxhash, "xxh3_64_intdigest", lambda x: (calls.append(x), whole(x))[1])
+    embed.HashingProvider(16).embed([texts[0] * 50])
+    assert len(calls) < 20
+
+
+def test_chunks_are_cut_once_and_carry_no_whole_text(spark):
+    docs = spark.createDataFrame([("d", "one two three four five"), ("e", " a\n b"), ("", ""), ("n", None)], "doc_id string, text string")
+    rows = chunking.chunk(docs, 3, 1)
+    generate = [x for x in plan(rows).splitlines() if "Generate" in x]
+    assert len(generate) == 1 and "_text" not in generate[0] and "_t#" not in generate[0]
+    got = {(r.doc_id, r.chunk_index): (r.chunk_count, r.chunk_token_start, r.doc_token_len, r.content) for r in rows.collect()}
+    assert got == {("d", 0): (2, 0, 5, "one two three"), ("d", 1): (2, 2, 5, "three four five"), ("e", 0): (1, 0, 2, " a\n b"), ("", 0): (1, 0, 0, "")}
+    names = []
+    ops = docs.selectExpr("'Inserted' as op", "doc_id as id", "text as string")
+    ingest.chunk_rows(ops, embed.HashingProvider(4), staged=lambda df, name: (names.append(name), df)[1])
+    assert names[0] == "chunks"
